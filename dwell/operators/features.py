@@ -34,86 +34,132 @@ def terms(text: Column) -> Column:
     )
 
 
-def word_ngrams(words: Column, n: int, joiner: str = " ") -> Column:
-    """Runs of ``n`` neighbouring words."""
-    out = words
-    for shift in range(1, n):
-        count = F.greatest(F.size(words) - shift, F.lit(0))
-        out = F.zip_with(
-            F.slice(out, F.lit(1), count),
-            F.slice(words, F.lit(shift + 1), count),
-            lambda a, b: F.concat(a, F.lit(joiner), b),
-        )
-    return out
+def _pair_up(left: Column, right: Column, shift: int, joiner: str = " ") -> Column:
+    """Each run of ``left`` with the word of ``right`` that follows it."""
+    count = F.greatest(F.size(right) - shift, F.lit(0))
+    return F.zip_with(
+        F.slice(left, F.lit(1), count),
+        F.slice(right, F.lit(shift + 1), count),
+        lambda a, b: F.concat(a, F.lit(joiner), b),
+    )
+
+
+# The functions below add one column per step.  A step that reads an earlier one several
+# times then reads its value, and does not compute it again.
+
+def with_one_two_grams(df: DataFrame, text: str, out: str = "grams") -> DataFrame:
+    """Add the terms of a text and the pairs of neighbouring terms."""
+    return (
+        df.withColumn("_terms", terms(F.col(text)))
+        .withColumn(out, F.concat("_terms", _pair_up(F.col("_terms"), F.col("_terms"), 1)))
+        .drop("_terms")
+    )
 
 
-def one_two_grams(text_terms: Column) -> Column:
-    return F.concat(text_terms, word_ngrams(text_terms, 2))
+def with_counts(df: DataFrame, grams: str, out: str = "counts") -> DataFrame:
+    """Add (term, tf) per distinct term of an array, counted inside the row."""
+    positions = F.when(F.size("_sorted") > 0, F.sequence(F.lit(1), F.size("_sorted"))).otherwise(
+        F.array().cast("array<int>")
+    )
+    starts = F.filter(
+        positions,
+        lambda i: (i == 1) | (
+            F.element_at("_sorted", i) != F.element_at("_sorted", F.greatest(i - 1, F.lit(1)))
+        ),
+    )
+    ends = F.concat(
+        F.slice("_starts", F.lit(2), F.greatest(F.size("_starts") - 1, F.lit(0))),
+        F.when(F.size("_starts") > 0, F.array(F.size("_sorted") + 1)).otherwise(
+            F.array().cast("array<int>")
+        ),
+    )
+    entries = F.zip_with(
+        F.col("_starts"), ends,
+        lambda start, end: F.struct(
+            F.element_at("_sorted", start).alias("term"), (end - start).alias("tf")
+        ),
+    )
+    return (
+        df.withColumn("_sorted", F.sort_array(grams))
+        .withColumn("_starts", starts)
+        .withColumn(out, entries)
+        .drop("_sorted", "_starts")
+    )
 
 
 # ---- TF-IDF ---------------------------------------------------------------
 
 def vocabulary(
-    grams: DataFrame, min_df: int = 2, max_df_tenths: int = 8, max_terms: int = 1000
+    counted: DataFrame, min_df: int = 2, max_df_tenths: int = 8, max_terms: int = 1000
 ) -> DataFrame:
-    """(term, df, cf, n_docs) of the most frequent terms; ``grams`` is (key, grams).
+    """(term, df, cf, n_docs) of the most frequent terms of per-document counts.
 
-    Two counts per term: all occurrences and one per document.  Both are combined
-    before the shuffle, which therefore carries terms and never (document, term) pairs.
+    The counts are combined before the shuffle, which carries terms and never
+    (document, term) pairs.
     """
-    one, none = F.lit(1), F.lit(0)
-    occurrences = grams.select(F.explode("grams").alias("term"), one.alias("cf"), none.alias("df"))
-    per_doc = grams.select(
-        F.explode(F.array_distinct("grams")).alias("term"), none.alias("cf"), one.alias("df")
-    )
-    counts = occurrences.unionByName(per_doc).groupBy("term").agg(
-        F.sum("cf").alias("cf"), F.sum("df").alias("df")
-    )
-    n_docs = grams.agg(F.count(F.lit(1)).alias("n")).scalar()
+    n_docs = counted.agg(F.count(F.lit(1)).alias("n")).scalar()
+    # The outer form: the plain one adds a size check below the counting steps, where
+    # each of them is computed again for every element.
     return (
-        counts.withColumn("n_docs", n_docs)
+        counted.select(F.explode_outer("counts").alias("_c"))
+        .filter(F.col("_c").isNotNull())
+        .groupBy(F.col("_c.term").alias("term"))
+        .agg(F.count(F.lit(1)).alias("df"), F.sum("_c.tf").alias("cf"))
+        .withColumn("n_docs", n_docs)
         .filter((F.col("df") >= min_df) & (F.col("df") * 10 <= F.col("n_docs") * max_df_tenths))
         .orderBy(F.col("cf").desc(), "term")
         .limit(max_terms)
-        .select("term", "df", "cf", "n_docs")
     )
 
 
 def tfidf(
     docs: DataFrame, key: str, text: str, min_df: int = 2, max_df_tenths: int = 8, max_terms: int = 1000
 ) -> DataFrame:
-    """Sparse TF-IDF rows (key, term, tf, weight) with unit length per document."""
-    grams = docs.select(F.col(key), one_two_grams(terms(F.col(text))).alias("grams"))
-    vocab = vocabulary(grams, min_df, max_df_tenths, max_terms)
-    # The vocabulary has at most ``max_terms`` rows; joining it first leaves at most that
-    # many rows per document to count and to shuffle.
-    known = grams.select(key, F.explode("grams").alias("term")).join(F.broadcast(vocab), "term")
-    counted = known.groupBy(key, "term", "df", "n_docs").agg(F.count(F.lit(1)).alias("tf"))
+    """Sparse TF-IDF rows (key, term, tf, weight) with unit length per document.
+
+    ``key`` is unique.
+    """
+    grams = with_one_two_grams(docs.select(key, text), text)
+    counted = with_counts(grams, "grams").select(key, "counts")
+    vocab = vocabulary(counted, min_df, max_df_tenths, max_terms)
+    # The vocabulary has at most ``max_terms`` rows, and joining it leaves at most that
+    # many rows per document to shuffle.
+    known = (
+        counted.select(key, F.explode_outer("counts").alias("_c"))
+        .select(key, "_c.term", F.col("_c.tf").cast("long").alias("tf"))
+        .join(F.broadcast(vocab), "term")
+    )
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    raw = counted.withColumn("_raw", F.col("tf") * idf)
+    raw = known.withColumn("_raw", F.col("tf") * idf)
     norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
     return raw.select(key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
 
 
 # ---- subwords -------------------------------------------------------------
 
-def char_ngrams(word: Column, low: int = 3, high: int = 6) -> Column:
-    """Character n-grams of one word, marked at both ends with ``<`` and ``>``."""
-    marked = F.concat(F.lit("<"), word, F.lit(">"))
-    size = F.length(marked)
+def char_ngrams(marked: Column, n: int) -> Column:
+    """All runs of ``n`` characters without blanks.
 
-    def of_length(n: int) -> Column:
-        starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(
-            F.array().cast("array<int>")
-        )
-        return F.transform(starts, lambda i: F.substr(marked, i, F.lit(n)))
-
-    return F.concat(*[of_length(n) for n in range(low, high + 1)])
+    A lookahead matches at every position; the first group keeps it from matching
+    between the two halves of a character outside the basic plane.
+    """
+    pattern = rf"(?![\uDC00-\uDFFF])(?=(\S{{{n}}}))"
+    return F.regexp_extract_all(marked, F.lit(pattern), F.lit(1))
 
 
-def subword_features(text: Column, word_n: int = 3, low: int = 3, high: int = 6) -> Column:
-    """Words, word 2- to ``word_n``-grams and character n-grams of a text."""
-    words = F.filter(F.split(text, r"\s+"), lambda w: w != "")
-    parts = [word_ngrams(words, n) for n in range(1, word_n + 1)]
-    parts.append(F.flatten(F.transform(words, lambda w: char_ngrams(w, low, high))))
-    return F.concat(*parts)
+def with_subwords(df: DataFrame, text: str, out: str = "grams", low: int = 3, high: int = 6) -> DataFrame:
+    """Add words, word 2- and 3-grams, and character n-grams of words set in ``<>``."""
+    return (
+        df.withColumn("_words", F.regexp_extract_all(F.col(text), F.lit(r"(\S+)"), F.lit(1)))
+        .withColumn("_two", _pair_up(F.col("_words"), F.col("_words"), 1))
+        .withColumn("_three", _pair_up(F.col("_two"), F.col("_words"), 2))
+        .withColumn("_marked", F.regexp_replace(text, r"(\S+)", "<$1>"))
+        .withColumn(
+            out,
+            F.concat(
+                "_words", "_two", "_three",
+                *[char_ngrams(F.col("_marked"), n) for n in range(low, high + 1)],
+            ),
+        )
+        .drop("_words", "_two", "_three", "_marked")
+    )

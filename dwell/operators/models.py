@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Sequence
+from contextlib import contextmanager
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark import StorageLevel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import (
-    IDF, CountVectorizer, ElementwiseProduct, HashingTF, Normalizer, StringIndexer,
+    CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, StringIndexer,
     StringIndexerModel,
 )
 from pyspark.ml.functions import vector_to_array
@@ -15,7 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from dwell.functions.text import app_title
-from dwell.operators.features import one_two_grams, subword_features, terms
+from dwell.operators.features import vocabulary, with_counts, with_one_two_grams, with_subwords
 from dwell.operators.training import DEFAULT_LABELS, with_class_weights
 
 MAX_TERMS = 1000
@@ -24,30 +27,45 @@ SUBWORD_BUCKETS = 200_000
 
 def _label_indexer() -> StringIndexer:
     return StringIndexer(
-        inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="keep"
+        inputCol="label", outputCol="label_index", stringOrderType="alphabetAsc", handleInvalid="error"
     )
 
 
-def _indexed(examples: DataFrame) -> StringIndexerModel:
-    return _label_indexer().setHandleInvalid("error").fit(examples)
+@contextmanager
+def _kept(df: DataFrame):
+    """Keep a training frame for the passes of a fit; lost blocks are computed again."""
+    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        yield df
+    finally:
+        df.unpersist()
+
+
+def _balanced(vectors: DataFrame) -> DataFrame:
+    """Even partitions for the many passes over the vectors, few where there is little data."""
+    return vectors.hint("rebalance")
 
 
 # ---- TF-IDF + logistic regression -----------------------------------------
 
 def tfidf_input(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("grams", one_two_grams(terms(F.col(text))))
+    return with_one_two_grams(df, text)
 
 
 def fit_tfidf_features(grams: DataFrame, max_terms: int = MAX_TERMS) -> PipelineModel:
-    """1-2-grams -> unit-length vectors of tf * (ln((1+n)/(1+df)) + 1)."""
-    counter = CountVectorizer(
-        inputCol="grams", outputCol="tf", minDF=2.0, maxDF=0.8, vocabSize=max_terms
-    ).fit(grams)
-    counted = counter.transform(grams)
-    idf = IDF(inputCol="tf", outputCol="unused").fit(counted).idf
-    weight = ElementwiseProduct(
-        inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(idf.toArray() + 1.0)
+    """1-2-grams -> unit-length vectors of tf * (ln((1+n)/(1+df)) + 1).
+
+    The vocabulary, at most ``max_terms`` rows, becomes part of the model.
+    """
+    counted = with_counts(grams, "grams").select("counts")
+    rows = vocabulary(counted, max_terms=max_terms).collect()
+    if not rows:
+        raise ValueError("no term is frequent enough")
+    counter = CountVectorizerModel.from_vocabulary(
+        [r["term"] for r in rows], inputCol="grams", outputCol="tf"
     )
+    idf = [math.log((1.0 + r["n_docs"]) / (1.0 + r["df"])) + 1.0 for r in rows]
+    weight = ElementwiseProduct(inputCol="tf", outputCol="tfidf", scalingVec=Vectors.dense(idf))
     return PipelineModel(stages=[counter, weight, Normalizer(inputCol="tfidf", outputCol="features", p=2.0)])
 
 
@@ -58,38 +76,41 @@ def fit_tfidf_logreg(
     max_terms: int = MAX_TERMS,
 ) -> PipelineModel:
     """Multinomial logistic regression with balanced class weights on TF-IDF vectors."""
-    weighted = tfidf_input(with_class_weights(examples, labels))
-    features = fit_tfidf_features(weighted, max_terms)
-    indexer = _indexed(weighted)
-    train = indexer.transform(features.transform(weighted)).select("features", "label_index", "weight")
-    n = max(1, weighted.count())
-    regression = LogisticRegression(
-        featuresCol="features", labelCol="label_index", weightCol="weight",
-        family="multinomial", maxIter=max_iter, tol=1e-4, regParam=1.0 / n, standardization=False,
-    ).fit(train)
+    prepared = tfidf_input(with_class_weights(examples, labels))
+    with _kept(prepared.select("label", "weight", "grams")) as train:
+        features = fit_tfidf_features(train, max_terms)
+        indexer = _label_indexer().fit(train)
+        n = max(1, train.count())
+        vectors = indexer.transform(features.transform(train))
+        with _kept(_balanced(vectors.select("features", "label_index", "weight"))) as vectors:
+            regression = LogisticRegression(
+                featuresCol="features", labelCol="label_index", weightCol="weight",
+                family="multinomial", maxIter=max_iter, tol=1e-4, regParam=1.0 / n,
+                standardization=False,
+            ).fit(vectors)
     return PipelineModel(stages=[*features.stages, indexer, regression])
 
 
 # ---- subwords + softmax ---------------------------------------------------
 
 def subword_input(df: DataFrame, text: str = "text") -> DataFrame:
-    return df.withColumn("grams", subword_features(F.col(text)))
+    return with_subwords(df, text)
 
 
 def fit_subword_softmax(
     examples: DataFrame, max_iter: int = 200, buckets: int = SUBWORD_BUCKETS, reg: float = 1e-4
 ) -> PipelineModel:
     """Linear softmax on hashed words, word n-grams and character n-grams."""
-    prepared = subword_input(examples)
-    return Pipeline(stages=[
-        HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets),
-        Normalizer(inputCol="hashed", outputCol="features", p=2.0),
-        _label_indexer().setHandleInvalid("error"),
-        LogisticRegression(
+    hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets)
+    unit = Normalizer(inputCol="hashed", outputCol="features", p=2.0)
+    hashed = unit.transform(hashing.transform(subword_input(examples)))
+    with _kept(_balanced(hashed.select("label", "features"))) as train:
+        indexer = _label_indexer().fit(train)
+        regression = LogisticRegression(
             featuresCol="features", labelCol="label_index", family="multinomial",
             maxIter=max_iter, regParam=reg, standardization=False,
-        ),
-    ]).fit(prepared)
+        ).fit(indexer.transform(train))
+    return PipelineModel(stages=[hashing, unit, indexer, regression])
 
 
 # ---- scoring --------------------------------------------------------------
@@ -122,7 +143,7 @@ def score_rows(model: PipelineModel, prepared: DataFrame, k: int) -> DataFrame:
     """One row per label and text, with its rank."""
     scored = score(model, prepared, k)
     kept = [c for c in scored.columns if c != "top"]
-    return scored.select(*kept, F.posexplode("top")).select(
+    return scored.select(*kept, F.posexplode_outer("top")).select(
         *kept, (F.col("pos") + 1).alias("rank"), F.col("col.label").alias("predicted"),
         F.col("col.probability").alias("probability"),
     )

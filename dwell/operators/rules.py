@@ -135,7 +135,7 @@ def classify_by_table(texts: DataFrame, rules: DataFrame, app: str = "app", titl
     exploded = (
         texts.select(app, title).distinct()
         .withColumn("_text", text)
-        .select(app, title, "_text", F.explode(F.array_distinct(runs)).alias("_key"))
+        .select(app, title, "_text", F.explode_outer(F.array_distinct(runs)).alias("_key"))
     )
     hits = exploded.join(keyed, "_key").filter(F.col("_text").contains(F.col("_keyword")))
     first = hits.groupBy(app, title).agg(

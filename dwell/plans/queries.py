@@ -24,7 +24,7 @@ from dwell.plans import categories as ca
 from dwell.plans import reports as rp
 from dwell.sources import tables as tb
 from dwell.sources import textio as io
-from dwell.sources.storage import fresh_folder
+from dwell.sources.storage import fresh_folder, spread
 from dwell.streaming import sessionize as ss
 from dwell.streaming import usage as us
 
@@ -75,7 +75,7 @@ def labelled(spark: SparkSession, folder: str) -> DataFrame:
     label = (
         F.when(F.col("quality") == 0, "other").when(F.col("toxic") == 1, "social").otherwise("learning")
     )
-    docs = _table(spark, folder, "documents").select("doc_id", "source", "text", "n_chars")
+    docs = spread(_table(spark, folder, "documents").select("doc_id", "source", "text", "n_chars"))
     return docs.join(_table(spark, folder, "labels"), "doc_id").select(
         "doc_id",
         F.col("source").alias("process_name"),
@@ -538,22 +538,22 @@ def trn_batch_union(spark, folder):
 
 @query
 def trn_tokens(spark, folder):
-    tokens = ft.tokens(F.col("text"))
-    return _table(spark, folder, "documents").select(
-        "doc_id", F.size(tokens).alias("n_tokens"), F.array_join(tokens, " ").alias("tokens")
-    )
+    docs = spread(_table(spark, folder, "documents").select("doc_id", "text"))
+    docs = docs.select("doc_id", ft.tokens(F.col("text")).alias("t"))
+    return docs.select("doc_id", F.size("t").alias("n_tokens"), F.array_join("t", " ").alias("tokens"))
 
 
 @query
 def trn_tfidf(spark, folder):
-    weights = ft.tfidf(_table(spark, folder, "documents"), "doc_id", "text")
+    docs = spread(_table(spark, folder, "documents").select("doc_id", "text"))
+    weights = ft.tfidf(docs, "doc_id", "text")
     return weights.select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 @query
 def trn_subword_features(spark, folder):
-    grams = ft.subword_features(F.col("text"))
-    return _table(spark, folder, "documents").select("doc_id", grams.alias("grams")).select(
+    docs = spread(_table(spark, folder, "documents").select("doc_id", "text"))
+    return ft.with_subwords(docs, "text").select(
         "doc_id", F.size("grams").alias("n_features"),
         F.size(F.array_distinct("grams")).alias("n_distinct"),
     )

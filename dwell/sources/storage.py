@@ -9,7 +9,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 _own_roots: dict[str, str] = {}
@@ -30,3 +30,13 @@ def shared_root(spark: SparkSession) -> str:
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
     """A path nothing has been written to yet."""
     return f"{shared_root(spark)}/dwell/{purpose}-{uuid.uuid4().hex}"
+
+
+def spread(scan: DataFrame) -> DataFrame:
+    """Give a small scan one partition per core before costly per-row work.
+
+    Acts only on a table with fewer splits than cores; a large one stays unshuffled.
+    Meant for scans: asking a frame with shuffles for its partitions would run them.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)

@@ -62,7 +62,7 @@ def parse_answer_arrays(answers: DataFrame, labels: Sequence[str], answer: str =
     """
     array_text = F.regexp_extract(F.col(answer), r"(?s)\[.*\]", 0)
     rest = [c for c in answers.columns if c != answer]
-    items = answers.select(*rest, F.explode(F.from_json(array_text, ANSWER_ITEMS)).alias("_item"))
+    items = answers.select(*rest, F.explode_outer(F.from_json(array_text, ANSWER_ITEMS)).alias("_item"))
     text = F.coalesce(F.col("_item.text"), F.lit(""))
     label = F.lower(F.coalesce(F.col("_item.label"), F.lit("other")))
     parts = F.split(text, r" \| ", 2)
