@@ -41,9 +41,13 @@ def _kept(df: DataFrame):
         df.unpersist()
 
 
-def _balanced(vectors: DataFrame) -> DataFrame:
-    """Even partitions for the many passes over the vectors, few where there is little data."""
-    return vectors.hint("rebalance")
+_ROWS_PER_TASK = 20_000
+_MOST_TASKS = 50_000
+
+
+def _balanced(vectors: DataFrame, rows: int) -> DataFrame:
+    """Even partitions for the many passes over the vectors, few where there are few rows."""
+    return vectors.repartition(max(1, min(_MOST_TASKS, rows // _ROWS_PER_TASK)))
 
 
 # ---- TF-IDF + logistic regression -----------------------------------------
@@ -82,7 +86,7 @@ def fit_tfidf_logreg(
         indexer = _label_indexer().fit(train)
         n = max(1, train.count())
         vectors = indexer.transform(features.transform(train))
-        with _kept(_balanced(vectors.select("features", "label_index", "weight"))) as vectors:
+        with _kept(_balanced(vectors.select("features", "label_index", "weight"), n)) as vectors:
             regression = LogisticRegression(
                 featuresCol="features", labelCol="label_index", weightCol="weight",
                 family="multinomial", maxIter=max_iter, tol=1e-4, regParam=1.0 / n,
@@ -104,7 +108,7 @@ def fit_subword_softmax(
     hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets)
     unit = Normalizer(inputCol="hashed", outputCol="features", p=2.0)
     hashed = unit.transform(hashing.transform(subword_input(examples)))
-    with _kept(_balanced(hashed.select("label", "features"))) as train:
+    with _kept(_balanced(hashed.select("label", "features"), examples.count())) as train:
         indexer = _label_indexer().fit(train)
         regression = LogisticRegression(
             featuresCol="features", labelCol="label_index", family="multinomial",
