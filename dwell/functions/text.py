@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
-from functools import reduce
 
 from pyspark.sql import Column, functions as F
 
@@ -21,7 +20,14 @@ DELIMITER = " | "
 
 
 def any_of(conditions: Iterable[Column]) -> Column:
-    return reduce(lambda a, b: a | b, conditions, F.lit(False))
+    """OR of any number of conditions, as a balanced tree so that long lists stay shallow."""
+    level = list(conditions)
+    if not level:
+        return F.lit(False)
+    while len(level) > 1:
+        pairs = [a | b for a, b in zip(level[::2], level[1::2])]
+        level = pairs + level[2 * len(pairs):]
+    return level[0]
 
 
 def has_text(col: Column) -> Column:
