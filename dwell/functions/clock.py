@@ -13,18 +13,18 @@ from pyspark.sql import Column, functions as F
 DAY_SECONDS = 86_400
 
 
+def _second_of_day(ts: Column) -> Column:
+    return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
+
+
 def epoch_seconds(ts: Column) -> Column:
     """Whole seconds since 1970-01-01 00:00:00 on the same wall clock."""
-    return (
-        F.unix_date(F.to_date(ts)).cast("long") * DAY_SECONDS
-        + F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
-    )
+    return F.unix_date(F.to_date(ts)).cast("long") * DAY_SECONDS + _second_of_day(ts)
 
 
 def whole_second(ts: Column) -> Column:
     """Drop the fraction of a second."""
-    fraction = F.extract(F.lit("SECOND"), ts) % 1
-    return ts - F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), fraction)
+    return F.to_date(ts).cast("timestamp_ntz") + F.lit(dt.timedelta(seconds=1)) * _second_of_day(ts)
 
 
 def seconds_between(start: Column, end: Column) -> Column:

@@ -58,12 +58,15 @@ class HotDevices:
         by_width: dict[int, list] = {}
         for key, width in self.widths.items():
             by_width.setdefault(width, []).append(key)
+        whole = F.lit(0).cast("long")
         number = None
         for width, keys in sorted(by_width.items()):
             value = int_div(epoch_seconds(ts), width)
             hit = device.isin(keys)
             number = F.when(hit, value) if number is None else number.when(hit, value)
-        return F.lit(0).cast("long") if number is None else number.otherwise(F.lit(0).cast("long"))
+        # Never NULL, and known not to be: a NULL check added for the join of the slices
+        # would make the two readers of the shuffled polls differ.
+        return whole if number is None else F.coalesce(number, whole)
 
 
 def find_hot_devices(polls: DataFrame, slice_rows: int = SLICE_ROWS) -> HotDevices:
@@ -123,76 +126,75 @@ def with_validity(samples: DataFrame, ignored: tuple[str, ...] = ()) -> DataFram
     return samples.withColumn("valid", valid)
 
 
+def _in_order(keys: list[str]):
+    return Window.partitionBy(*keys).orderBy("ts", "seq")
+
+
 def _mark_breaks(polls: DataFrame, keys: list[str], max_gap: int) -> DataFrame:
     """``broken``: a gap or a stop lies between this poll and the one before it."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
-    running = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    w = _in_order(keys)
     return (
         polls.withColumn("prev_ts", F.lag("ts").over(w))
         .withColumn("prev_stop", F.lag("is_stop").over(w))
+        .withColumn("next_ts", F.lead("ts").over(w))
         .withColumn(
             "broken",
             F.coalesce(gap_exceeds(F.col("prev_ts"), F.col("ts"), max_gap), F.lit(False))
             | F.coalesce(F.col("prev_stop"), F.lit(False)),
         )
-        .withColumn("island", F.sum(F.col("broken").cast("long")).over(running))
     )
 
 
+def _number_breaks(polls: DataFrame, keys: list[str]) -> DataFrame:
+    so_far = _in_order(keys).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    return polls.withColumn("island", F.sum(F.col("broken").cast("long")).over(so_far))
+
+
 def _mark_changes(polls: DataFrame, keys: list[str]) -> DataFrame:
-    """``changed``: a valid poll whose window differs from the one running before it."""
-    before = (
-        Window.partitionBy(*keys).orderBy("ts", "seq")
-        .rowsBetween(Window.unboundedPreceding, -1)
-    )
-    latest = F.last(F.when(F.col("valid"), F.struct("island", "app", "title")), ignorenulls=True)
+    """``changed``: a valid poll whose window differs from the one running before it.
+
+    Polls that neither open nor end anything go first, apart from the outermost ones.
+    After that a valid poll only has to look at the poll right before it: if that one is
+    not valid, it begins an awake stretch, so no window is running.
+    """
+    w = _in_order(keys)
+    outermost = F.col("prev_ts").isNull() | F.col("next_ts").isNull()
+    kept = polls.filter(F.col("valid") | F.col("broken") | F.col("is_stop") | outermost)
+    valid = F.col("valid")
     return (
-        polls.withColumn("_latest", latest.over(before))
-        .withColumn(
-            "opens_island",
-            F.col("valid") & F.coalesce(F.col("_latest.island") < F.col("island"), F.lit(True)),
-        )
+        kept.withColumn("_was_valid", F.coalesce(F.lag("valid").over(w), F.lit(False)))
+        .withColumn("_was_app", F.lag("app").over(w))
+        .withColumn("_was_title", F.lag("title").over(w))
+        .withColumn("opens_island", valid & (F.col("broken") | ~F.col("_was_valid")))
         .withColumn(
             "changed",
             F.col("opens_island")
-            | (
-                F.col("valid")
-                & (
-                    (F.col("app") != F.col("_latest.app"))
-                    | (F.col("title") != F.col("_latest.title"))
-                )
-            ),
+            | (valid & ((F.col("app") != F.col("_was_app")) | (F.col("title") != F.col("_was_title")))),
         )
-        .drop("_latest")
+        .drop("_was_valid", "_was_app", "_was_title")
     )
 
 
 def _with_local_end(polls: DataFrame, keys: list[str]) -> DataFrame:
     """Keep session starts, each with the time of the next event that closes it."""
-    w = Window.partitionBy(*keys).orderBy("ts", "seq")
     closes_at = F.when(F.col("broken"), F.col("prev_ts")).otherwise(F.col("ts"))
     return (
         polls.filter(F.col("changed") | F.col("broken") | F.col("is_stop"))
-        .withColumn("end_ts", F.lead(closes_at).over(w))
+        .withColumn("end_ts", F.lead(closes_at).over(_in_order(keys)))
         .filter("changed")
     )
 
 
-def _origin(polls: DataFrame) -> DataFrame:
-    """Start of the session a poll opens; a carried-over poll names an earlier one."""
-    if "origin_ts" in polls.columns:
-        return polls
-    return polls.withColumn("origin_ts", F.col("ts")).withColumn("origin_seq", F.col("seq"))
-
-
 def _as_sessions(starts: DataFrame) -> DataFrame:
-    start, end = whole_second(F.col("origin_ts")), whole_second(F.col("end_ts"))
+    # A carried-over poll names the start of the session it continues.
+    carried = "origin_ts" in starts.columns
+    start_ts, start_seq = ("origin_ts", "origin_seq") if carried else ("ts", "seq")
     return (
-        starts.withColumn("start_time", start)
-        .withColumn("end_time", end)
+        starts.withColumn("start_time", whole_second(F.col(start_ts)))
+        .withColumn("end_time", whole_second(F.col("end_ts")))
         .select(
             "device_id",
-            F.col("origin_seq").alias("session_seq"),
+            F.col(start_seq).alias("session_seq"),
             "app",
             F.col("title").alias("window_title"),
             "start_time",
@@ -288,9 +290,10 @@ def _stitch(summary: DataFrame, max_gap: int) -> DataFrame:
 
 
 def _starts_by_slice(polls: DataFrame, max_gap: int, hot: HotDevices) -> DataFrame:
+    """The summary and the starts read the same shuffled polls, so Spark shuffles once."""
     keys = ["device_id", "slice"]
     sliced = polls.withColumn("slice", hot.slice_of(F.col("device_id"), F.col("ts")))
-    marked = _mark_changes(_mark_breaks(sliced, keys, max_gap), keys)
+    marked = _number_breaks(_mark_changes(_mark_breaks(sliced, keys, max_gap), keys), keys)
     stitched = _stitch(_summarise_slices(marked), max_gap)
     starts = _with_local_end(marked, keys)
     continued = F.coalesce(
@@ -301,12 +304,22 @@ def _starts_by_slice(polls: DataFrame, max_gap: int, hot: HotDevices) -> DataFra
         F.lit(False),
     )
     return (
-        starts.join(stitched, keys, "left")
+        starts.join(stitched, keys)
         .filter(~continued)
         .withColumn("end_ts", F.coalesce("end_ts", "leaving_end"))
     )
 
 
+def _starts(polls: DataFrame, max_gap: int, hot: HotDevices | None) -> DataFrame:
+    if not hot:
+        return _starts_by_device(polls, max_gap)
+    # The slices are joined on the device; polls without one take the other way.
+    known, unknown = F.col("device_id").isNotNull(), F.col("device_id").isNull()
+    sliced = _starts_by_slice(polls.filter(known), max_gap, hot)
+    whole = _starts_by_device(polls.filter(unknown), max_gap)
+    return sliced.select(*whole.columns).unionByName(whole)
+
+
 # ---- public operators -----------------------------------------------------
 
 def build_sessions(
@@ -319,19 +332,20 @@ def build_sessions(
 
     ``hot`` is the result of ``find_hot_devices``; without it every device is one group.
     """
-    polls = _origin(with_validity(samples, ignored))
-    if hot:
-        return _as_sessions(_starts_by_slice(polls, max_gap_seconds, hot))
-    return _as_sessions(_starts_by_device(polls, max_gap_seconds))
+    return _as_sessions(_starts(with_validity(samples, ignored), max_gap_seconds, hot))
 
 
 def _breaks_in_order(samples: DataFrame, max_gap: int, hot: HotDevices | None) -> DataFrame:
     """Polls with the true previous poll and a running island number per device."""
+    device = ["device_id"]
     if not hot:
-        return _mark_breaks(samples, ["device_id"], max_gap)
+        return _number_breaks(_mark_breaks(samples, device, max_gap), device)
     keys = ["device_id", "slice"]
-    sliced = samples.withColumn("slice", hot.slice_of(F.col("device_id"), F.col("ts")))
-    marked = _mark_breaks(sliced, keys, max_gap)
+    unknown = samples.filter(F.col("device_id").isNull())
+    sliced = samples.filter(F.col("device_id").isNotNull()).withColumn(
+        "slice", hot.slice_of(F.col("device_id"), F.col("ts"))
+    )
+    marked = _number_breaks(_mark_breaks(sliced, keys, max_gap), keys)
     ends = marked.groupBy(*keys).agg(
         F.min("ts").alias("first_ts"),
         F.max("ts").alias("last_ts"),
@@ -356,14 +370,15 @@ def _breaks_in_order(samples: DataFrame, max_gap: int, hot: HotDevices | None) -
         .select(*keys, "before_ts", "before_stop", "edge_broken", "island_offset")
     )
     first = F.col("prev_ts").isNull()
-    return (
-        marked.join(linked, keys, "left")
-        .withColumn("island", F.col("island") + F.coalesce("island_offset", F.lit(0)))
-        .withColumn("broken", F.when(first, F.coalesce("edge_broken", F.lit(False))).otherwise(F.col("broken")))
+    whole = _number_breaks(_mark_breaks(unknown, device, max_gap), device)
+    joined = (
+        marked.join(linked, keys)
+        .withColumn("island", F.col("island") + F.col("island_offset"))
+        .withColumn("broken", F.when(first, F.col("edge_broken")).otherwise(F.col("broken")))
         .withColumn("prev_stop", F.when(first, F.col("before_stop")).otherwise(F.col("prev_stop")))
         .withColumn("prev_ts", F.coalesce("prev_ts", "before_ts"))
-        .drop("slice", "before_ts", "before_stop", "edge_broken", "island_offset")
     )
+    return joined.select(*whole.columns).unionByName(whole)
 
 
 def detect_sleep(
@@ -391,11 +406,7 @@ def window_changes(
     hot: HotDevices | None = None,
 ) -> DataFrame:
     """The polls that open a session."""
-    polls = _origin(with_validity(samples, ignored))
-    starts = (
-        _starts_by_slice(polls, max_gap_seconds, hot)
-        if hot else _starts_by_device(polls, max_gap_seconds)
-    )
+    starts = _starts(with_validity(samples, ignored), max_gap_seconds, hot)
     return starts.select("device_id", "ts", "seq", "app", "title")
 
 

@@ -35,8 +35,8 @@ def test_batches_and_restarts_equal_one_batch(spark, monkeypatch, slice_rows):
     polls = random_polls(random.Random(4), devices=6, polls=80)
     polls.sort(key=lambda r: (r[1], r[2]))
     folder, root = fresh_folder(spark, "in"), fresh_folder(spark, "stream")
-    for start in range(0, len(polls), 160):
-        arrive(spark, folder, polls[start:start + 160])
+    for start in range(0, len(polls), 240):
+        arrive(spark, folder, polls[start:start + 240])
         job = ss.SessionStream(spark, root, GAP, ("Desktop",))  # a new object: a restart
         last = run(spark, job, folder)
     got = rows_of(job.closed_sessions().unionByName(job.open_sessions(last)))
