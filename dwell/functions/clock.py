@@ -13,6 +13,11 @@ from pyspark.sql import Column, functions as F
 DAY_SECONDS = 86_400
 
 
+def wall_clock(at: dt.datetime) -> Column:
+    """A naive datetime as a TIMESTAMP_NTZ literal, untouched by any zone."""
+    return F.lit(at.isoformat(sep=" ")).cast("timestamp_ntz")
+
+
 def _second_of_day(ts: Column) -> Column:
     return F.hour(ts) * 3600 + F.minute(ts) * 60 + F.second(ts)
 

@@ -7,11 +7,13 @@ and read back.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from dwell.functions import dates, text as tx
+from dwell.functions.clock import wall_clock
 from dwell.operators import apps as ap
 from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
@@ -433,8 +435,8 @@ def ses_build(spark, folder):
 @query
 def ses_close_at(spark, folder):
     sessions = tb.event_usage(spark, folder).sessions
-    at = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
-    return se.close_open_sessions(sessions, at).select(*_SESSION_KEY)
+    at = dt.datetime(2024, 2, 1)
+    return se.close_open_sessions(sessions, wall_clock(at)).select(*_SESSION_KEY)
 
 
 # ---- categories -----------------------------------------------------------

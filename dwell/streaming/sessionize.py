@@ -15,11 +15,13 @@ would have; polls older than the watermark then count as late.
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
 
-from dwell.functions.clock import interval_seconds, seconds_between, whole_second
+from dwell.functions.clock import interval_seconds, seconds_between, wall_clock, whole_second
 from dwell.operators.sessions import DEFAULT_MAX_GAP, SESSION_COLUMNS, build_sessions, find_hot_devices
 from dwell.streaming.versions import VersionedTable
 
@@ -119,8 +121,8 @@ class SessionStream:
             )
         )
         state_now = last.join(running, "device_id", "left")
-        newest = polls.agg(F.max("ts").alias("newest")).collect()[0]["newest"]
         if self.idle_close:
+            newest = polls.agg(F.max("ts").alias("newest")).collect()[0]["newest"]
             watermark = self._watermark(watermark, newest)
             state_now = self._close_idle(state_now, watermark, batch_id)
         self.state.write(state_now.select(*STATE.fieldNames()), batch_id)
@@ -137,7 +139,7 @@ class SessionStream:
             F.lit(False),
         )
         if watermark is not None:
-            is_late = is_late | (F.col("ts") < F.lit(watermark).cast("timestamp_ntz"))
+            is_late = is_late | (F.col("ts") < wall_clock(watermark))
         return (
             polls.join(known, "device_id", "left")
             .withColumn("_late", is_late)
@@ -147,8 +149,6 @@ class SessionStream:
         )
 
     def _watermark(self, before, newest):
-        import datetime as dt
-
         if newest is None:
             return before
         now = newest - dt.timedelta(seconds=self.lateness)
@@ -156,7 +156,7 @@ class SessionStream:
 
     def _close_idle(self, state: DataFrame, watermark, batch_id: int) -> DataFrame:
         folder = f"{self.root}/idle/batch_id={batch_id}"
-        mark = F.lit(watermark).cast("timestamp_ntz")
+        mark = F.lit(None).cast("timestamp_ntz") if watermark is None else wall_clock(watermark)
         idle = F.col("session_seq").isNotNull() & F.coalesce(
             F.col("last_ts") + interval_seconds(self.max_gap) < mark, F.lit(False)
         )

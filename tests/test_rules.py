@@ -1,7 +1,6 @@
 import datetime as dt
 import random
 
-import pytest
 from pyspark.sql import functions as F
 
 from dwell.operators import rules as ru

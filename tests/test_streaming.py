@@ -2,7 +2,6 @@ import datetime as dt
 import random
 
 import pytest
-from pyspark.sql import functions as F
 
 from dwell.operators import sessions as S
 from dwell.schemas import SAMPLES
