@@ -84,60 +84,62 @@ class MergeReplay:
         heapq.heapify(queue)
 
         tok = symbols.tolist()
+        due = merged.tolist()  # by position: the merge its pair is due for, or below 0
+        due.append(END)
         nxt = list(range(1, len(tok) + 1))
         prv = list(range(-1, len(tok) - 1))
         bounds: list[int] | None = None
-        pair, known, size = self.pair, self.made, self.size
+        pair, known, size = self.pair, self.made.get, self.size
         while queue:
             rank = heapq.heappop(queue)
             places = index.pop(rank, None)
             if places is None:
                 continue
             places.sort()
+            base = rank * size
             waiting: set[int] = set()
             again = []
             for p in places:
-                a = tok[p]
-                q = nxt[p]
-                b = tok[q]
-                if a < 0 or b < 0:
-                    continue
-                made = known.get(a * size + b)
-                if made != rank and (made is not None or pair(a, b) != rank):
+                if due[p] != rank:
                     continue
                 if waiting and bisect_right(bounds, p) in waiting:
                     again.append(p)
                     continue
-                tok[p] = rank
-                tok[q] = GONE
+                q = nxt[p]
                 after = nxt[p] = nxt[q]
                 prv[after] = p
+                tok[p] = rank
+                tok[q] = due[q] = due[p] = GONE
                 lowest = rank
+                b = tok[after]
+                if b >= 0:
+                    made = known(base + b)
+                    if made is None:
+                        made = pair(rank, b)
+                    if made >= 0:
+                        due[p] = made
+                        if made in index:
+                            index[made].append(p)
+                        else:
+                            index[made] = [p]
+                            heapq.heappush(queue, made)
+                        if made < rank:
+                            lowest = made
                 before = prv[p]
                 a = tok[before]
                 if a >= 0:
-                    made = known.get(a * size + rank)
+                    made = known(a * size + rank)
                     if made is None:
                         made = pair(a, rank)
+                    due[before] = made
                     if made >= 0:
                         if made in index:
                             index[made].append(before)
                         else:
                             index[made] = [before]
                             heapq.heappush(queue, made)
-                        lowest = made
-                b = tok[after]
-                if b >= 0:
-                    made = known.get(rank * size + b)
-                    if made is None:
-                        made = pair(rank, b)
-                    if made >= 0:
-                        if made in index:
-                            index[made].append(p)
-                        else:
-                            index[made] = [p]
-                            heapq.heappush(queue, made)
-                        lowest = min(lowest, made)
+                        if made < lowest:
+                            lowest = made
                 if lowest < rank:
                     bounds = bounds or starts.tolist()
                     waiting.add(bisect_right(bounds, p))
@@ -179,24 +181,38 @@ def _encoder(path: str, pattern: str) -> Encoder:
 
 
 @lru_cache(maxsize=2)
-def _tokens(path: str) -> list[bytes]:
-    return MergeReplay(read_ranks(path)).tokens
+def _tokens(path: str) -> dict[int, bytes]:
+    return {rank: token for token, rank in read_ranks(path).items()}
+
+
+def _decoder(path: str):
+    tokens = _tokens(path)
+    return lambda data: b"".join(map(tokens.__getitem__, np.frombuffer(data, "<u4").tolist()))
 
 
 def encode_texts(df: DataFrame, ranks_path: str, pattern: str, text: str = "text",
-                 keep: tuple[str, ...] = ("doc_id",), ids: str = "ids") -> DataFrame:
+                 keep: tuple[str, ...] = ("doc_id",), ids: str = "ids", decoded: str | None = None) -> DataFrame:
     """Kept columns and the ids of every text, as little-endian unsigned 32-bit integers.
 
     Special tokens are ordinary text.  A null or empty text has no ids.  Rows are
     independent, so repeated rows get equal results, and an empty table gives none.
-    ``ranks_path`` must exist on every executor.
+    ``decoded`` names a column for the bytes that the ids decode to, for a check of the
+    round trip in the same pass.  ``ranks_path`` must exist on every executor.
     """
 
     def start():
         encoder = _encoder(ranks_path, pattern)
-        return lambda texts: [pa.array(encoder.encode(texts), pa.binary())]
+        decode = _decoder(ranks_path)
+
+        def work(texts):
+            found = encoder.encode(texts)
+            out = [pa.array(found, pa.binary())]
+            return out + [pa.array(map(decode, found), pa.binary())] if decoded else out
 
-    return map_texts(df, text, keep, [StructField(ids, BinaryType())], start)
+        return work
+
+    added = [StructField(name, BinaryType()) for name in (ids, decoded) if name]
+    return map_texts(df, text, keep, added, start)
 
 
 def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
@@ -210,17 +226,11 @@ def decode_ids(df: DataFrame, ranks_path: str, ids: str = "ids", decoded: str =
     schema = StructType([*df.schema, StructField(decoded, BinaryType())])
 
     def run(batches):
-        tokens = _tokens(ranks_path)
-
-        def text(data):
-            if data is None:
-                return None
-            return b"".join(map(tokens.__getitem__, np.frombuffer(data, "<u4").tolist()))
-
+        decode = _decoder(ranks_path)
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
-                out = pa.array([text(d) for d in part.column(column).to_pylist()], pa.binary())
+                out = pa.array([None if d is None else decode(d) for d in part.column(column).to_pylist()], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, out], names=schema.names)
 
     return df.mapInArrow(run, schema)

@@ -54,8 +54,8 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 def encode_digests(docs: DataFrame) -> DataFrame:
     """Encode, decode the ids, and give both as digests."""
     path = public_tokenizers.path(MULTI)
-    decoded = bpe.decode_ids(bpe.encode_texts(docs, path, public_tokenizers.PATTERN), path)
-    return decoded.select(
+    encoded = bpe.encode_texts(docs, path, public_tokenizers.PATTERN, decoded="decoded")
+    return encoded.select(
         "doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
     )
