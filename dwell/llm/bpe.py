@@ -22,6 +22,8 @@ from pyspark.sql.types import BinaryType, StructField, StructType
 from dwell.llm.texts import WordTable, map_texts, piece_of, word_keys
 
 END, GONE = -1, -2
+# Words kept by a worker process, with their ids.
+WORDS = 550_000
 # Pairs whose merge is remembered.
 PAIRS = 400_000
 
@@ -160,8 +162,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.replay = MergeReplay(ranks)
         self.pattern = regex.compile(pattern)
-        self.table = WordTable(self.solve)
-        self.pieces = WordTable(lambda pieces: self.replay.encode([p.encode() for p in pieces]))
+        self.table = WordTable(self.solve, WORDS)
+        self.pieces = WordTable(lambda pieces: self.replay.encode([p.encode() for p in pieces]), WORDS)
 
     def solve(self, keys: list[str]) -> list[bytes]:
         pieces = [self.pattern.findall(piece_of(k)) for k in keys]
