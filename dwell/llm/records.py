@@ -35,6 +35,8 @@ FILE_BYTES = 16 << 20
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 BLOCK = 256
+# Pieces kept by a worker process, with their ids.
+WORDS = 1_000_000
 # Distinct pieces in one call of the tokenizer.
 JOINED = 500
 
@@ -166,7 +168,7 @@ class Ids:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.table = WordTable(self.solve)
+        self.table = WordTable(self.solve, WORDS)
         # Cuts at spaces are safe only for a byte-level tokenizer without a prefix space,
         # and if no added token holds or swallows a space.
         added = self.tokenizer.get_added_tokens_decoder().values()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -82,7 +83,7 @@ class WordTable:
             known = self.known = {w: v for w, v in known.items() if w in recent and len(w) <= LONG_WORD}
             if len(known) > self.limit // 2:
                 known = self.known = {}
-        missing = list({w for words in texts for w in words if w not in known})
+        missing = list(set(chain.from_iterable(texts)).difference(known))
         known.update(zip(missing, self.solve(missing)))
         self.last = texts
         return known
