@@ -29,6 +29,8 @@ UNKNOWN = "und"
 MAX_DOCS = 4000
 ROUNDS = 2
 SMOOTHING = 0.05
+# Plain words kept by a worker process, with their scores.
+WORDS = 600_000
 # A word is scored in runs of so many characters, so that its probability stays a number.
 RUN = 24
 # Languages a model may hold: it goes to every task, with one number per piece of each.
@@ -127,17 +129,15 @@ class Scorer:
                 out[some] = np.log(lattice.forward(self.table)[-1])
         return out
 
-    def words(self, words: list[str]) -> list[np.ndarray]:
-        """One row per word as it stands in a text; words without a letter get zeros."""
-        letters = [plain(w) for w in words]
-        distinct = list({w for w in letters if w})
-        runs = [runs_of(w) for w in distinct]
+    def words(self, words: list[str]) -> list[bytes]:
+        """The row of each plain word, packed; the empty word has zeros."""
+        runs = [runs_of(w) for w in words if w]
         flat = self.runs([r for rs in runs for r in rs])
         sizes = [len(rs) for rs in runs]
         sums = np.add.reduceat(flat, np.cumsum([0, *sizes[:-1]]), axis=0) if runs else flat
-        known = dict(zip(distinct, sums.astype(np.float32)))
-        none = np.zeros(self.table.shape[1], np.float32)
-        return [known.get(w, none) for w in letters]
+        packed = iter([row.tobytes() for row in sums.astype(np.float32)])
+        none = np.zeros(self.table.shape[1], np.float32).tobytes()
+        return [next(packed) if w else none for w in words]
 
 
 # ---- fitting ---------------------------------------------------------------------
@@ -254,7 +254,7 @@ def _scores_of(model: LanguageModel, path: str) -> WordTable:
     """The word table of a worker process, for the model it used last."""
     if model.key not in _TABLES:
         _TABLES.clear()
-        _TABLES[model.key] = WordTable(Scorer(model, _vocabulary(path)).words, 200_000)
+        _TABLES[model.key] = WordTable(Scorer(model, _vocabulary(path)).words, WORDS, plain)
     return _TABLES[model.key]
 
 
@@ -279,13 +279,16 @@ def predict_language(docs: DataFrame, model: LanguageModel, pieces_path: str, te
             known = table.fill(words)
             place: dict[str, int] = {}
             flat = [place.setdefault(w, len(place)) for ws in words for w in ws]
-            rows = np.array([known[w] for w in place], np.float32).reshape(-1, size)
-            sums = np.vstack([np.zeros(size), np.cumsum(rows[flat], axis=0, dtype=np.float64)])
-            ends = np.cumsum([len(ws) for ws in words])
-            total = sums[ends] - sums[np.concatenate([[0], ends[:-1]])]
+            rows = np.frombuffer(b"".join(map(known.__getitem__, place)), np.float32).reshape(-1, size)
+            # Words times rows, summed per text: the words of a text follow each other.
+            counts = np.array([len(ws) for ws in words])
+            total = np.zeros((len(texts), size))
+            full = np.flatnonzero(counts)
+            if len(full):
+                starts = (np.cumsum(counts) - counts)[full]
+                total[full] = np.add.reduceat(rows.astype(np.float64)[flat], starts, axis=0)
             # A word with letters has a probability below one in any language.
-            lettered = np.concatenate([[0], np.cumsum((rows != 0).any(axis=1)[flat])])
-            empty = lettered[ends] == lettered[np.concatenate([[0], ends[:-1]])]
+            empty = (total == 0).all(axis=1)
             total += model.log_prior
             odds = np.exp(total - total.max(axis=1, keepdims=True))
             best = odds.argmax(axis=1)

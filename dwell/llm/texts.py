@@ -19,7 +19,6 @@ TABLE_WORDS = 350_000
 LONG_WORD = 200
 
 ASCII_SPACES = " \t\n\x0b\x0c\r"
-_TO_SPACE = str.maketrans({c: " " for c in ASCII_SPACES})
 _SPACE_RUN = re.compile(r" (?=\s|\Z)")
 
 # Takes the texts of a slice, returns one Arrow array per added column.
@@ -28,14 +27,11 @@ Work = Callable[[list[str]], Sequence[pa.Array]]
 
 def words_of(text: str) -> list[str]:
     """The matches of ``[^\\x20\\x09-\\x0D]+``."""
-    return [w for w in text.translate(_TO_SPACE).split(" ") if w] if _odd(text) else text.split(" ")
-
-
-def _odd(text: str) -> bool:
-    return (
-        not text or text[0] == " " or text[-1] == " " or "  " in text
-        or any(c in text for c in ASCII_SPACES[1:])
-    )
+    for char in ASCII_SPACES[1:]:
+        if char in text:
+            text = text.replace(char, " ")
+    words = text.split(" ")
+    return list(filter(None, words)) if "  " in text or text[:1] in " " or text[-1] == " " else words
 
 
 def word_keys(text: str) -> list[str]:
@@ -66,27 +62,36 @@ def piece_of(key: str) -> str:
 class WordTable:
     """Values of distinct words, worked out in bulk and kept while there is room.
 
-    ``solve`` maps a list of distinct words to their values.  Only speed depends on what
-    is kept: when the table is full it starts again from the words of the last slice.
+    ``solve`` maps a list of distinct words to their values.  With ``fold``, words that
+    fold to the same form share a value, and only forms are kept.  Only speed depends on
+    what is kept: when the table is full it starts again from the words of the last slice.
     """
 
-    def __init__(self, solve: Callable[[list[str]], Iterable], limit: int = TABLE_WORDS):
+    def __init__(self, solve: Callable[[list[str]], Iterable], limit: int = TABLE_WORDS,
+                 fold: Callable[[str], str] | None = None):
         self.solve = solve
         self.limit = limit
+        self.fold = fold
         self.known: dict[str, object] = {}
+        self.last: set[str] = set()
 
     def fill(self, texts: list[list[str]]) -> dict:
         """Values of at least the words of these texts."""
-        known = self.known
-        if len(known) > self.limit:
-            recent = set().union(*self.last)
-            known = self.known = {w: v for w, v in known.items() if w in recent and len(w) <= LONG_WORD}
-            if len(known) > self.limit // 2:
-                known = self.known = {}
-        missing = list(set(chain.from_iterable(texts)).difference(known))
-        known.update(zip(missing, self.solve(missing)))
-        self.last = texts
-        return known
+        words = set(chain.from_iterable(texts))
+        if self.fold is None:
+            return self._fill(words)
+        forms = dict(zip(words, map(self.fold, words)))
+        known = self._fill(set(forms.values()))
+        return {word: known[form] for word, form in forms.items()}
+
+    def _fill(self, words: set[str]) -> dict:
+        if len(self.known) > self.limit:
+            recent = {w: self.known[w] for w in self.last if len(w) <= LONG_WORD}
+            self.known = recent if len(recent) <= self.limit // 2 else {}
+        missing = list(words.difference(self.known))
+        self.known.update(zip(missing, self.solve(missing)))
+        self.last = words
+        return self.known
 
 
 def slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:

@@ -32,6 +32,8 @@ from pyspark.sql.types import DoubleType, IntegerType, StructField
 from dwell.llm.texts import WordTable, map_texts, slices, words_of
 from dwell.sources.storage import fresh_folder
 
+# Words kept by a worker process, with their decision values.
+WORDS = 700_000
 ORDER = 3
 DECAY = 0.7
 LANDMARKS = 192
@@ -48,10 +50,15 @@ INSULT_TEXTS = 6
 INSULT_ODDS = 20
 # Texts are alike if they agree in the smallest hash of their windows of this length.
 SIGN_CHARS = 8
-ROUNDS = 3
+ROUNDS = 2
 REGULARISATION = 1e-5
 _SHORT = 2
+JOINED = WINDOW // _SHORT  # short words in a window
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
+_MARKS = re.compile(r"[\W_]+")
+GAP = "."
+# Insults that the machine also sees in gapped and altered spellings.
+ALTERED = 60
 
 
 # ---- windows -----------------------------------------------------------------------
@@ -63,27 +70,35 @@ def _cuts(word: str) -> list[str]:
     return [word[i:i + WINDOW] for i in range(0, len(word) - step, step)]
 
 
-def windows_of_word(word: str) -> list[str]:
-    """The windows of one word of a text: lower case, without marks around it."""
+def core_of(word: str) -> str:
+    """A word in lower case, without marks around it; runs of marks inside become one."""
     core = word.lower()
-    if not core.isalnum():
-        core = _STRIP.sub("", core)
+    if core.isalnum():
+        return core
+    core = core.strip(".,;:!?\"'()")
+    return core if core.isalnum() else _MARKS.sub(GAP, _STRIP.sub("", core))
+
+
+def windows_of_word(word: str) -> list[str]:
+    """The windows of one word of a text."""
+    core = core_of(word)
     return _cuts(core) if core else []
 
 
 def spelled(words: list[str]) -> list[str]:
     """Runs of three or more words of at most two characters, joined: ``i d i o t``."""
-    found, run = [], []
-    for word in words:
-        if len(word) <= _SHORT:
-            run.append(word)
-        elif run:
-            if len(run) > 2:
-                found.append(run)
-            run = []
-    if len(run) > 2:
-        found.append(run)
-    return ["".join(run[i:i + WINDOW]) for run in found for i in range(0, max(1, len(run) - _SHORT), WINDOW // 2)]
+    short = np.fromiter(map(len, words), np.int64, len(words)) <= _SHORT
+    third = np.flatnonzero(short[2:] & short[1:-1] & short[:-2])  # first words of three short ones
+    found, at = [], 0
+    for start in third.tolist():
+        if start < at:
+            continue
+        at = start
+        while at < len(words) and short[at]:
+            at += 1
+        for lo in range(start, at - _SHORT, JOINED // 2):
+            found.append("".join(words[lo:min(at, lo + JOINED)]).lower())
+    return found
 
 
 # ---- kernel ------------------------------------------------------------------------
@@ -263,13 +278,16 @@ class Scorer:
                         out[some[i]] = max(v, floor)
         return out
 
-    def words(self, words: list[str]) -> list[float]:
-        """The highest window of each word as it stands in a text."""
-        parts = [windows_of_word(w) for w in words]
-        distinct = list({p for ps in parts for p in ps})
-        known = dict(zip(distinct, self.windows(distinct).tolist()))
+    def cores(self, cores: list[str]) -> list[float]:
+        """The highest window of each word, given without marks and in lower case."""
         least = max(self.machine.bias, self.machine.floor)
-        return [max(map(known.__getitem__, ps)) if ps else least for ps in parts]
+        short = [c for c in cores if len(c) <= WINDOW]
+        known = dict(zip(short, self.windows(short).tolist()))
+        for core in cores:
+            if len(core) > WINDOW:
+                known[core] = float(self.windows(_cuts(core)).max())
+        known[""] = least
+        return [known[c] for c in cores]
 
 
 # ---- fitting -----------------------------------------------------------------------
@@ -326,7 +344,9 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     spark = docs.sparkSession
     folder = fresh_folder(spark, "toxicity-windows")
     sample = _sample(docs, labels, doc_id, text, max_docs)
-    _sample_windows(sample).repartition(spark.sparkContext.defaultParallelism, "window").write.parquet(folder)
+    # Equal windows side by side: each is then scored about once.
+    dealt = _sample_windows(sample).repartition("window").sortWithinPartitions("window")
+    dealt.write.parquet(folder)
     rows = spark.read.schema("id long, toxic boolean, window string").parquet(folder)
     found = _insults(rows)
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("id").alias("n")).collect()}
@@ -340,15 +360,18 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     negatives = [r["window"] for r in clean.orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS // 2).collect()]
     frequent = [r["window"] for r in clean.orderBy(F.desc("good"), "window").limit(MAX_WINDOWS // 6).collect()]
     negatives = list(dict.fromkeys(negatives + frequent))
+    varied = [v for w in positives[:ALTERED] for v in altered(w)]
+    gapped = [GAP.join(w) for w in positives[:ALTERED // 2]]
     half = LANDMARKS * 3 // 4
-    landmarks = _spread(positives, half) + frequent[:LANDMARKS - half]
+    landmarks = list(dict.fromkeys(_spread(positives, half) + gapped + frequent[:LANDMARKS - half]))
     features = Features(landmarks)
     machine, tops = None, []
     for round_ in range(ROUNDS + 1):
-        both = positives + negatives
-        y = np.arange(len(both)) < len(positives)
+        bad = positives + [v for v in varied if v not in set(negatives)]
+        both = bad + negatives
+        y = np.arange(len(both)) < len(bad)
         # Both classes weigh the same; a frequent insult weighs more than a rare one.
-        weights = np.array([np.sqrt(insults.get(w, 1)) for w in positives] + [1.0] * len(negatives))
+        weights = np.array([np.sqrt(insults.get(w, 1)) for w in bad] + [1.0] * len(negatives))
         weights[y] /= weights[y].sum()
         weights[~y] /= max(1, len(negatives))
         coefficients, bias = train(features, both, y, weights)
@@ -385,6 +408,12 @@ def _spread(words: list[str], count: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
+def altered(word: str) -> list[str]:
+    """Spellings with gaps between all characters, with one gap and with one letter twice."""
+    inside = range(1, len(word))
+    return [GAP.join(word)] + [word[:i] + GAP + word[i:] for i in inside] + [word[:i] + word[i - 1] + word[i:] for i in inside]
+
+
 def _best_windows(rows: DataFrame, machine: Machine) -> DataFrame:
     """The highest window of every sampled text, and whether it is above 1."""
     shared = rows.sparkSession.sparkContext.broadcast(machine)
@@ -422,16 +451,18 @@ def _middle(values: np.ndarray, toxic: np.ndarray) -> float:
 
 # ---- scoring -----------------------------------------------------------------------
 
-_SCORERS: dict[str, tuple[Scorer, WordTable]] = {}
+_TABLES: dict[str, tuple[WordTable, WordTable]] = {}
 
 
-def _scorer(machine: Machine) -> tuple[Scorer, WordTable]:
-    """Kept in a worker process for the machine it used last."""
-    if machine.key not in _SCORERS:
-        _SCORERS.clear()
+def _tables(machine: Machine) -> tuple[WordTable, WordTable]:
+    """Values of words and of joined runs, kept for the machine a worker used last."""
+    if machine.key not in _TABLES:
+        _TABLES.clear()
         scorer = Scorer(machine)
-        _SCORERS[machine.key] = scorer, WordTable(scorer.words)
-    return _SCORERS[machine.key]
+        _TABLES[machine.key] = (
+            WordTable(scorer.cores, WORDS, core_of), WordTable(lambda windows: scorer.windows(windows).tolist(), WORDS // 4)
+        )
+    return _TABLES[machine.key]
 
 
 def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
@@ -444,16 +475,15 @@ def score_toxicity(docs: DataFrame, machine: Machine, text: str = "text", keep:
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 
     def start():
-        scorer, table = _scorer(shared.value)
-        machine = scorer.machine
+        machine = shared.value
+        table, runs = _tables(machine)
         least = max(machine.bias, machine.floor)
 
         def work(texts):
             words = [words_of(t) if t else [] for t in texts]
             known = table.fill(words)
             joined = [spelled(ws) for ws in words]
-            flat = list({w for ws in joined for w in ws})
-            extra = dict(zip(flat, scorer.windows([w.lower() for w in flat]).tolist()))
+            extra = runs.fill(joined)
             best = [
                 max(max(map(known.__getitem__, ws), default=least), max(map(extra.__getitem__, js), default=least))
                 for ws, js in zip(words, joined)
