@@ -13,6 +13,7 @@ from __future__ import annotations
 import uuid
 from collections import Counter
 from functools import lru_cache
+from itertools import chain
 from typing import NamedTuple
 
 import numpy as np
@@ -46,8 +47,8 @@ class LanguageModel(NamedTuple):
 
 
 @lru_cache(maxsize=1)
-def _vocabulary(path: str) -> dict[str, int]:
-    return {piece: i for i, piece in enumerate(read_pieces(path))}
+def _index(path: str) -> PieceIndex:
+    return PieceIndex({piece: i for i, piece in enumerate(read_pieces(path))})
 
 
 def plain(word: str) -> str:
@@ -61,18 +62,65 @@ def runs_of(word: str) -> list[str]:
     return [marked[i:i + RUN] for i in range(0, len(marked), RUN)]
 
 
+class PieceIndex:
+    """The piece vocabulary by 64-bit polynomial hashes, looked up for many strings at once."""
+
+    BASE = np.uint64(0x9E3779B97F4A7C15)
+    BITS = 18
+
+    def __init__(self, vocabulary: dict[str, int]):
+        self.size = len(vocabulary)
+        self.longest = max(map(len, vocabulary))
+        base, mask = int(self.BASE), (1 << 64) - 1
+        hashes = []
+        for piece in vocabulary:
+            h = 0
+            for char in piece:
+                h = (h * base + ord(char)) & mask
+            hashes.append(h)
+        keys = np.array(hashes, np.uint64)
+        if len(np.unique(keys)) < self.size:
+            raise ValueError("two pieces share a hash")
+        numbers = np.fromiter(vocabulary.values(), np.int32, self.size)
+        bucket = self._bucket(keys)
+        order = np.argsort(bucket, kind="stable")
+        ranked = bucket[order]
+        turn = np.arange(self.size) - np.searchsorted(ranked, ranked)
+        self.count = np.bincount(bucket, minlength=1 << self.BITS).astype(np.int8)
+        self.keys = np.zeros((int(turn.max()) + 1, 1 << self.BITS), np.uint64)
+        self.numbers = np.full(self.keys.shape, -1, np.int32)
+        self.keys[turn, ranked] = keys[order]
+        self.numbers[turn, ranked] = numbers[order]
+
+    def _bucket(self, hashes: np.ndarray) -> np.ndarray:
+        return ((hashes ^ (hashes >> np.uint64(29))) * self.BASE >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """Piece numbers, -1 where there is no such piece."""
+        out = np.full(len(hashes), -1, np.int32)
+        bucket = self._bucket(hashes)
+        rows = np.flatnonzero(self.count[bucket])
+        for keys, numbers in zip(self.keys, self.numbers):
+            hit = rows[keys[bucket[rows]] == hashes[rows]]
+            hit = hit[numbers[bucket[hit]] >= 0]
+            out[hit] = numbers[bucket[hit]]
+        return out
+
+
 class Lattice:
     """The segmentations of words of one length, as piece numbers by start and end."""
 
-    def __init__(self, words: list[str], vocabulary: dict[str, int], longest: int):
+    def __init__(self, words: list[str], index: PieceIndex):
         size = len(words[0])
+        points = np.frombuffer("".join(words).encode("utf-32-le"), "<u4").reshape(len(words), size).T.astype(np.uint64)
         self.size, self.arcs = size, {}
-        get, missing = vocabulary.get, len(vocabulary)
         for start in range(size):
-            for end in range(start + 1, min(size, start + longest) + 1):
-                found = np.fromiter((get(w[start:end], -1) for w in words), np.int32, len(words))
+            rolling = np.zeros(len(words), np.uint64)
+            for end in range(start + 1, min(size, start + index.longest) + 1):
+                rolling = rolling * index.BASE + points[end - 1]
+                found = index.find(rolling)
                 if end == start + 1:
-                    found[found < 0] = missing  # any single character can be spelled
+                    found[found < 0] = index.size  # any single character can be spelled
                 if (found >= 0).any():
                     self.arcs[start, end] = found
 
@@ -115,17 +163,16 @@ def _padded(model: LanguageModel) -> np.ndarray:
 class Scorer:
     """Log-probabilities of plain words in every language."""
 
-    def __init__(self, model: LanguageModel, vocabulary: dict[str, int]):
+    def __init__(self, model: LanguageModel, index: PieceIndex):
         self.table = _padded(model)
-        self.vocabulary = vocabulary
-        self.longest = max(map(len, vocabulary))
+        self.index = index
 
     def runs(self, runs: list[str]) -> np.ndarray:
         out = np.empty((len(runs), self.table.shape[1]))
         for rows in _by_length(runs).values():
             for at in range(0, len(rows), 20_000):
                 some = rows[at:at + 20_000]
-                lattice = Lattice([runs[i] for i in some], self.vocabulary, self.longest)
+                lattice = Lattice([runs[i] for i in some], self.index)
                 out[some] = np.log(lattice.forward(self.table)[-1])
         return out
 
@@ -180,10 +227,9 @@ def _expected(counts: DataFrame, path: str, model: LanguageModel) -> DataFrame:
     languages = list(model.languages)
 
     def run(batches):
-        vocabulary = _vocabulary(path)
-        longest = max(map(len, vocabulary))
+        index = _index(path)
         table = _padded(model)
-        size = len(vocabulary)
+        size = index.size
         total = np.zeros((size + 1, len(languages)))
         number = {name: i for i, name in enumerate(languages)}
         for batch in batches:
@@ -193,7 +239,7 @@ def _expected(counts: DataFrame, path: str, model: LanguageModel) -> DataFrame:
             for rows in _by_length(runs).values():
                 for at in range(0, len(rows), 20_000):
                     some = np.array(rows[at:at + 20_000])
-                    lattice = Lattice([runs[i] for i in some], vocabulary, longest)
+                    lattice = Lattice([runs[i] for i in some], index)
                     ahead, back = lattice.forward(table), lattice.backward(table)
                     own, line = lang[some], np.arange(len(some))
                     scale = weight[some] / ahead[-1][line, own]
@@ -223,12 +269,11 @@ def fit_languages(docs: DataFrame, pieces_path: str, doc_id: str = "doc_id", tex
     if len(sizes) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
     languages = sorted(sizes)
-    vocabulary = _vocabulary(pieces_path)
-    shape = (len(vocabulary), len(languages))
+    shape = (_index(pieces_path).size, len(languages))
     prior = np.array([sizes[x] for x in languages], float)
     model = LanguageModel(
         uuid.uuid4().hex, languages, np.log(prior / max(1, prior.sum())),
-        np.full(shape, 1 / (len(vocabulary) + 1)), np.full(len(languages), 1 / (len(vocabulary) + 1)),
+        np.full(shape, 1 / (shape[0] + 1)), np.full(len(languages), 1 / (shape[0] + 1)),
     )
     if not languages:
         return model
@@ -254,7 +299,7 @@ def _scores_of(model: LanguageModel, path: str) -> WordTable:
     """The word table of a worker process, for the model it used last."""
     if model.key not in _TABLES:
         _TABLES.clear()
-        _TABLES[model.key] = WordTable(Scorer(model, _vocabulary(path)).words, WORDS, plain)
+        _TABLES[model.key] = WordTable(Scorer(model, _index(path)).words, WORDS, plain)
     return _TABLES[model.key]
 
 
@@ -277,9 +322,9 @@ def predict_language(docs: DataFrame, model: LanguageModel, pieces_path: str, te
                 return [pa.array([UNKNOWN] * len(texts)), pa.array([0.0] * len(texts))]
             words = [words_of(t) if t else [] for t in texts]
             known = table.fill(words)
-            place: dict[str, int] = {}
-            flat = [place.setdefault(w, len(place)) for ws in words for w in ws]
-            rows = np.frombuffer(b"".join(map(known.__getitem__, place)), np.float32).reshape(-1, size)
+            place = dict(zip(known, range(len(known))))
+            flat = list(map(place.__getitem__, chain.from_iterable(words)))
+            rows = np.frombuffer(b"".join(known.values()), np.float32).reshape(-1, size)
             # Words times rows, summed per text: the words of a text follow each other.
             counts = np.array([len(ws) for ws in words])
             total = np.zeros((len(texts), size))
