@@ -112,7 +112,8 @@ def top_k(queries: DataFrame, base: DataFrame, k: int, bits: int = BITS) -> Data
             some = active.select("query", "bound", F.explode(lookup).alias("s")).select("query", "bound", "s.segment", "s.value")
             hits = some if hits is None else hits.unionByName(some)
         found = (
-            hits.join(index, ["segment", "value"])
+            # Spark underrates the exploded lookups and would send them everywhere.
+            hits.hint("merge").join(index, ["segment", "value"])
             .withColumn("distance", distance).where(F.col("distance") <= F.col("bound"))
             .select("query", "code", "distance", "least", "n").distinct()
         )
