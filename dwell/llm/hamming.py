@@ -41,7 +41,7 @@ def _signed(value: int) -> int:
 
 def segments(bits: int, codes: int) -> list[tuple[int, int]]:
     """Start and length of the segments: about as long as the number of codes is in bits."""
-    size = min(MAX_SEGMENT, max(4, round(math.log2(max(2, codes)))))
+    size = min(MAX_SEGMENT, max(4, int(math.log2(max(2, codes)))))
     count = math.ceil(bits / size)
     cuts = [bits * i // count for i in range(count + 1)]
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]
