@@ -241,7 +241,11 @@ def primal(landmarks: list[str], coefficients: np.ndarray) -> tuple[dict[str, in
 
 
 class Scorer:
-    """Decision values of windows and words, not below the machine's floor."""
+    """Decision values of windows and words.
+
+    Whatever speaks against an insult counts as nothing, so no value is below the bias,
+    nor below the floor.
+    """
 
     def __init__(self, machine: Machine):
         self.machine = machine
