@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from dwell.llm import hamming, mixture, simhash
 from dwell.llm.graph import components
-from tests.llm.frames import awkward, empty
+from frames import awkward, empty
 
 
 def _classes(members, linked):

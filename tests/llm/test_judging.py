@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from dwell.llm import language, quality, queries, toxicity, warc
-from tests.llm.frames import SCHEMA, TEXTS, awkward, empty
+from frames import SCHEMA, TEXTS, awkward, empty
 
 FOLDER = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")

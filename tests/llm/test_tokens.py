@@ -18,7 +18,7 @@ from tokenizers import Tokenizer
 from dwell.llm import bpe, counts, queries, records
 from dwell.llm.texts import WordTable, piece_of, word_keys, words_of
 from dwell.sources.storage import fresh_folder
-from tests.llm.frames import TEXTS, awkward, empty
+from frames import TEXTS, awkward, empty
 
 MULTI = public_tokenizers.path(queries.MULTI)
 RANKS = bpe.read_ranks(MULTI)
