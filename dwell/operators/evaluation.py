@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+OTHER = "unlisted"
+
 
 def pair_counts(predictions: DataFrame) -> DataFrame:
     """(label, predicted, n): everything below works on these few rows."""
@@ -63,9 +65,35 @@ def class_report(predictions: DataFrame) -> DataFrame:
 
 
 def confusion(predictions: DataFrame, labels: Sequence[str]) -> DataFrame:
-    """One row per true label, one column per predicted label."""
+    """One row per label, one column per predicted label, ``unlisted`` for any other.
+
+    Labels are those given and those that occur on the true side; a label without an
+    example gets a row of zeros.
+    """
+    spark = predictions.sparkSession
+    if OTHER in labels:
+        raise ValueError(f"{OTHER} is the column for predictions outside the list")
+    column = F.when(F.col("predicted").isin(list(labels)), F.col("predicted")).otherwise(OTHER)
+    given = spark.range(1).select(F.explode(F.array(*map(F.lit, labels))).alias("label"))
+    pairs = predictions.groupBy("label", column.alias("predicted")).agg(F.count(F.lit(1)).alias("n"))
+    zeros = given.select("label", F.lit(OTHER).alias("predicted"), F.lit(0).cast("long").alias("n"))
     return (
-        predictions.groupBy("label").pivot("predicted", list(labels))
-        .agg(F.count(F.lit(1))).fillna(0).orderBy("label")
+        pairs.unionByName(zeros).groupBy("label").pivot("predicted", [*labels, OTHER])
+        .agg(F.sum("n")).fillna(0).orderBy("label")
+    )
+
+
+def confusion_pairs(predictions: DataFrame, labels: Sequence[str] = ()) -> DataFrame:
+    """(label, predicted, n) over all pairs of labels that occur on either side or are given."""
+    spark = predictions.sparkSession
+    seen = predictions.select("label").union(predictions.select("predicted")).distinct()
+    if labels:
+        seen = seen.union(spark.range(1).select(F.explode(F.array(*map(F.lit, labels))))).distinct()
+    # One row that holds the set of labels: its size is that of the label set.
+    every = seen.agg(F.collect_set("label").alias("all"))
+    zeros = every.select(F.explode("all").alias("label"), "all").select(
+        "label", F.explode("all").alias("predicted"), F.lit(0).cast("long").alias("n")
     )
+    pairs = predictions.groupBy("label", "predicted").agg(F.count(F.lit(1)).alias("n"))
+    return pairs.unionByName(zeros).groupBy("label", "predicted").agg(F.sum("n").alias("n"))
 

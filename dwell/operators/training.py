@@ -92,7 +92,9 @@ def stratified_split(
     examples with that prefix, about 1 in 65,536, are ranked.
     """
     stratum = strict_label(F.col("label"), labels)
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    # A missing key is a key like any other; the mark tells it from an empty one.
+    text = F.coalesce(F.col(key).cast("string"), F.lit("\0"))
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), text))
     hashed = examples.withColumn("_stratum", stratum).withColumn("_digest", digest).withColumn(
         "_prefix", F.substring("_digest", 1, _PREFIX)
     )

@@ -455,7 +455,7 @@ SELECT count(*) FILTER (WHERE label = predicted) AS correct, count(*) AS total,
         "evl_confusion": f"""WITH {PREDICTED}
 SELECT label, count(*) FILTER (WHERE predicted = 'learning') AS learning,
        count(*) FILTER (WHERE predicted = 'social') AS social,
-       count(*) FILTER (WHERE predicted = 'other') AS other
+       count(*) FILTER (WHERE predicted NOT IN ('learning', 'social')) AS unlisted
 FROM predictions GROUP BY label""",
         "mnt_upsert_apps": f"""{APPS} WHERE start_date < {AS_OF}
    OR start_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-20' GROUP BY app""",

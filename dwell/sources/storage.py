@@ -1,42 +1,53 @@
 """The shared work folder.
 
-The cluster names it in ``spark.checkpoint.dir``.  Only a local session without
-that setting gets a temporary folder of its own.
+The cluster names it in ``spark.checkpoint.dir``; a session without that setting uses the
+checkpoint folder of its context, or the warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 
-
-_own_roots: dict[str, str] = {}
+_owned: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
+    found = (
+        spark.conf.get("spark.checkpoint.dir", None)
+        or spark.sparkContext.getCheckpointDir()
+        or spark.conf.get("spark.sql.warehouse.dir", None)
+    )
+    if not found:
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    if context.applicationId not in _own_roots:
-        _own_roots[context.applicationId] = tempfile.mkdtemp(prefix="dwell-")
-    return _own_roots[context.applicationId]
+    return found.rstrip("/")
 
 
 def fresh_folder(spark: SparkSession, purpose: str) -> str:
-    """A path nothing has been written to yet."""
-    return f"{shared_root(spark)}/dwell/{purpose}-{uuid.uuid4().hex}"
+    """A path nothing has been written to yet.  It goes when the application ends."""
+    own = f"{shared_root(spark)}/dwell/{spark.sparkContext.applicationId}"
+    _owned.add(own)
+    return f"{own}/{purpose}-{uuid.uuid4().hex}"
+
+
+@atexit.register
+def clean_up() -> None:
+    """Delete what this application wrote to the shared folder."""
+    while _owned:
+        try:
+            fs, path = pafs.FileSystem.from_uri(_owned.pop())
+            fs.delete_dir(path)
+        except (OSError, ValueError):
+            pass  # nothing was written, or the store is one that only Spark reaches
 
 
-def spread(scan: DataFrame) -> DataFrame:
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
     """Give a small scan one partition per core before costly per-row work.
 
-    Acts only on a table with fewer splits than cores; a large one stays unshuffled.
-    Meant for scans: asking a frame with shuffles for its partitions would run them.
+    Acts only on a table with fewer files than cores; a larger one stays unshuffled.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores)
+    cores = partitions or scan.sparkSession.sparkContext.defaultParallelism
+    return scan if len(scan.inputFiles()) >= cores else scan.repartition(cores)

@@ -7,16 +7,17 @@ put all polls of such a device into one task.
 
 State per device: the last poll, and the running session if there is one.
 
-Polls at or before the last poll of their device are late; they are counted and left
-out.  With ``idle_close`` a session whose device has been silent for more than the gap
-limit is closed without waiting for the next poll.  It ends at the same time as it
-would have; polls older than the watermark then count as late.
+Polls at or before the last poll of their own device are late; they are counted and left
+out.  Devices that lag behind others lose nothing.
+
+With ``idle_close`` a running session whose device has been silent for longer than the gap
+limit, measured against the newest poll of any device less ``lateness_seconds``, is shown
+as closed at its last poll.  It stays in the state: a poll that arrives later and still
+within the gap goes on with it from its first start.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F, types as T
 from pyspark.sql.streaming import StreamingQuery
@@ -90,7 +91,7 @@ class SessionStream:
         late_before = mark[0]["late_polls"] if mark else 0
 
         late = Observation()
-        fresh = self._without_late(polls, state, watermark, late)
+        fresh = self._without_late(polls, state, late)
         carried = state.filter(F.col("session_seq").isNotNull()).select(
             "device_id", F.col("last_ts").alias("ts"), F.col("last_seq").alias("seq"),
             "app", "title", F.lit(False).alias("is_stop"),
@@ -121,25 +122,21 @@ class SessionStream:
             )
         )
         state_now = last.join(running, "device_id", "left")
-        if self.idle_close:
-            newest = polls.agg(F.max("ts").alias("newest")).collect()[0]["newest"]
-            watermark = self._watermark(watermark, newest)
-            state_now = self._close_idle(state_now, watermark, batch_id)
+        newest = polls.agg(F.max("ts").alias("newest")).collect()[0]["newest"]
+        watermark = max(filter(None, (watermark, newest)), default=None)
         self.state.write(state_now.select(*STATE.fieldNames()), batch_id)
         late_now = late_before + (late.get.get("late_polls") or 0)
         self.marks.write(
             self.spark.createDataFrame([(batch_id, watermark, late_now)], self.marks.schema), batch_id
         )
 
-    def _without_late(self, polls, state, watermark, late: Observation) -> DataFrame:
+    def _without_late(self, polls, state, late: Observation) -> DataFrame:
         known = state.select("device_id", "last_ts", "last_seq")
         is_late = F.coalesce(
             (F.col("ts") < F.col("last_ts"))
             | ((F.col("ts") == F.col("last_ts")) & (F.col("seq") <= F.col("last_seq"))),
             F.lit(False),
         )
-        if watermark is not None:
-            is_late = is_late | (F.col("ts") < wall_clock(watermark))
         return (
             polls.join(known, "device_id", "left")
             .withColumn("_late", is_late)
@@ -148,42 +145,11 @@ class SessionStream:
             .select(*polls.columns)
         )
 
-    def _watermark(self, before, newest):
-        if newest is None:
-            return before
-        now = newest - dt.timedelta(seconds=self.lateness)
-        return now if before is None else max(before, now)
-
-    def _close_idle(self, state: DataFrame, watermark, batch_id: int) -> DataFrame:
-        folder = f"{self.root}/idle/batch_id={batch_id}"
-        mark = F.lit(None).cast("timestamp_ntz") if watermark is None else wall_clock(watermark)
-        idle = F.col("session_seq").isNotNull() & F.coalesce(
-            F.col("last_ts") + interval_seconds(self.max_gap) < mark, F.lit(False)
-        )
-        end = whole_second(F.col("last_ts"))
-        (
-            state.filter(idle).withColumn("end_time", end)
-            .select(
-                "device_id", "session_seq", "app", F.col("title").alias("window_title"),
-                "start_time", "end_time",
-                seconds_between(F.col("start_time"), F.col("end_time")).alias("duration_seconds"),
-                F.lit(True).alias("is_foreground"), F.to_date("start_time").alias("start_date"),
-            )
-            .write.mode("overwrite").parquet(folder)
-        )
-
-        def unless_idle(column):
-            return F.when(~idle, F.col(column)).alias(column)
-
-        return state.select(
-            "device_id", "last_ts", "last_seq",
-            *[unless_idle(c) for c in ("app", "title", "start_time", "session_seq")],
-        )
-
     # ---- results ----------------------------------------------------------
 
-    def closed_sessions(self) -> DataFrame:
-        """All sessions that have ended so far."""
+    def closed_sessions(self, batch_id: int | None = None) -> DataFrame:
+        """All sessions that have ended; with ``idle_close`` name the last batch, and the
+        sessions that are idle after it are among them."""
         stored = T.StructType([*CLOSED.fields, T.StructField("closed", T.BooleanType())])
         ended = (
             self.spark.read.schema(stored).parquet(f"{self.root}/sessions")
@@ -191,13 +157,19 @@ class SessionStream:
         )
         if not self.idle_close:
             return ended
-        idle = self.spark.read.schema(CLOSED).parquet(f"{self.root}/idle").select(*SESSION_COLUMNS)
-        return ended.unionByName(idle)
+        if batch_id is None:
+            raise ValueError("idle sessions are those after a batch: name it")
+        end = whole_second(F.col("last_ts"))
+        idle = self._running(batch_id).filter("idle").withColumn("end_time", end).select(
+            "device_id", "session_seq", "app", F.col("title").alias("window_title"), "start_time", "end_time",
+            seconds_between(F.col("start_time"), F.col("end_time")).alias("duration_seconds"),
+            F.lit(True).alias("is_foreground"), F.to_date("start_time").alias("start_date"),
+        )
+        return ended.unionByName(idle.select(*SESSION_COLUMNS))
 
     def open_sessions(self, batch_id: int) -> DataFrame:
         """Sessions still running after a batch."""
-        running = self.state.at(batch_id).filter(F.col("session_seq").isNotNull())
-        return running.select(
+        return self._running(batch_id).filter("not idle").select(
             "device_id", "session_seq", "app", F.col("title").alias("window_title"), "start_time",
             F.lit(None).cast("timestamp_ntz").alias("end_time"),
             F.lit(0).cast("long").alias("duration_seconds"),
@@ -205,10 +177,20 @@ class SessionStream:
             F.to_date("start_time").alias("start_date"),
         )
 
+    def _running(self, batch_id: int) -> DataFrame:
+        """Sessions the state holds after a batch, and whether they count as idle."""
+        running = self.state.at(batch_id).filter(F.col("session_seq").isNotNull())
+        watermark = self.marks.at(batch_id).collect()[0]["watermark"]  # one row
+        if not self.idle_close or watermark is None:
+            return running.withColumn("idle", F.lit(False))
+        mark = wall_clock(watermark) - interval_seconds(self.lateness)
+        return running.withColumn("idle", F.col("last_ts") + interval_seconds(self.max_gap) < mark)
+
     def late_polls(self, batch_id: int) -> int:
         return self.marks.at(batch_id).collect()[0]["late_polls"]
 
 
 def last_batch(query: StreamingQuery) -> int:
-    """Number of the last batch a finished query ran."""
-    return query.lastProgress["batchId"]
+    """Number of the last batch a finished query has run, -1 if there was no data yet."""
+    ran = [p["batchId"] for p in query.recentProgress if p["numInputRows"]]
+    return max(ran, default=-1)

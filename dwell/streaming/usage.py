@@ -4,73 +4,56 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from dwell.functions.units import hours, int_div, minutes
+from dwell.functions.units import hours, minutes
 from dwell.operators.apps import apps_seen, upsert_apps, with_app
 from dwell.operators.rules import DEFAULT_CATEGORIES, Category, classify
 from dwell.schemas import APPS, SESSIONS
 from dwell.streaming.versions import VersionedTable
 
 
-def read_session_stream(spark: SparkSession, path: str) -> DataFrame:
+def read_session_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
     """Stored sessions as a stream; new files are new sessions."""
-    return spark.readStream.schema(SESSIONS).parquet(path)
+    reader = spark.readStream.schema(SESSIONS)
+    if files_per_batch:
+        reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    return reader.parquet(path)
 
 
-def _instant(ts_ntz: Column) -> Column:
-    """A wall-clock time as the instant with the same reading in UTC.
+class LiveTotals:
+    """Adds up sessions per day and ``key`` as they come.
 
-    Watermarks need a TIMESTAMP, and one-day windows start at midnight UTC.
+    Every micro-batch stores its own sums under its number, so a batch that runs again
+    replaces them, and the totals are the sums over all batches.  No session is too old
+    to count.
     """
-    return F.concat(ts_ntz.cast("string"), F.lit("Z")).cast("timestamp")
-
-
-def daily_totals(sessions: DataFrame, key: str, lateness: str) -> DataFrame:
-    """Seconds per day and ``key``; state older than the watermark is dropped."""
-    return (
-        sessions.withColumn("started", _instant(F.col("start_time")))
-        .withWatermark("started", lateness)
-        .groupBy(F.window("started", "1 day").alias("day"), key)
-        .agg(F.sum("duration_seconds").alias("seconds"), F.count(F.lit(1)).alias("session_count"))
-        .select(
-            F.date_from_unix_date(int_div(F.unix_seconds("day.start"), 86_400).cast("int")).alias("date"),
-            key, "seconds", "session_count",
-        )
-    )
-
 
-class LiveTotals:
-    """Writes changed totals per micro-batch; the newest one of a (date, key) counts."""
-
-    def __init__(self, spark: SparkSession, root: str, key: str, lateness: str = "7 days"):
-        self.spark, self.root, self.key, self.lateness = spark, root, key, lateness
+    def __init__(self, spark: SparkSession, root: str, key: str):
+        self.spark, self.root, self.key = spark, root, key
 
     def start(self, keyed_sessions: DataFrame, **trigger) -> StreamingQuery:
         return (
-            daily_totals(keyed_sessions, self.key, self.lateness)
-            .writeStream.outputMode("update").foreachBatch(self._write)
+            keyed_sessions.select(F.to_date("start_time").alias("date"), self.key, "duration_seconds")
+            .writeStream.foreachBatch(self._write)
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .trigger(**(trigger or {"availableNow": True}))
             .start()
         )
 
-    def _write(self, changed: DataFrame, batch_id: int) -> None:
-        changed.write.mode("overwrite").parquet(f"{self.root}/totals/batch_id={batch_id}")
+    def _write(self, batch: DataFrame, batch_id: int) -> None:
+        sums = batch.groupBy("date", self.key).agg(
+            F.sum("duration_seconds").alias("seconds"), F.count(F.lit(1)).alias("session_count")
+        )
+        sums.write.mode("overwrite").parquet(f"{self.root}/totals/batch_id={batch_id}")
 
     def read(self) -> DataFrame:
         schema = f"date date, {self.key} string, seconds long, session_count long, batch_id long"
-        newest = F.max(F.struct("batch_id", "seconds", "session_count")).alias("_newest")
         return (
             self.spark.read.schema(schema).parquet(f"{self.root}/totals")
-            .groupBy("date", self.key).agg(newest)
-            .select(
-                "date", self.key,
-                hours(F.col("_newest.seconds")).alias("hours"),
-                minutes(F.col("_newest.seconds")).alias("minutes"),
-                F.col("_newest.session_count").alias("session_count"),
-            )
+            .groupBy("date", self.key).agg(F.sum("seconds").alias("seconds"), F.sum("session_count").alias("session_count"))
+            .select("date", self.key, hours(F.col("seconds")).alias("hours"), minutes(F.col("seconds")).alias("minutes"), "session_count")
         )
 
 

@@ -79,10 +79,10 @@ def test_idle_sessions_close_early_with_the_same_end(spark):
     polls = [poll(0, 0), poll(50, 1), poll(0, 2, device=2), poll(300, 3, device=2), poll(400, 4)]
     job = ss.SessionStream(spark, fresh_folder(spark, "stream"), GAP, idle_close=True)
     job.process(spark.createDataFrame(polls[:4], SAMPLES), 0)
-    silent = [r for r in job.closed_sessions().collect() if r.device_id == 1]
+    silent = [r for r in job.closed_sessions(0).collect() if r.device_id == 1]
     assert [r.duration_seconds for r in silent] == [50]
     job.process(spark.createDataFrame(polls[4:], SAMPLES), 1)
-    got = rows_of(job.closed_sessions().unionByName(job.open_sessions(1)))
+    got = rows_of(job.closed_sessions(1).unionByName(job.open_sessions(1)))
     want = simulate(polls, GAP)
     # Device 2 has been silent for more than the limit by now and is closed as well.
     open_then = {(2, 3)}
@@ -90,6 +90,53 @@ def test_idle_sessions_close_early_with_the_same_end(spark):
     assert [(r[5] - r[4]).total_seconds() for r in got if r[:2] in open_then] == [0]
 
 
+def test_devices_that_lag_lose_nothing(spark):
+    """Device 1 is behind device 2; its polls are on time by its own clock."""
+    polls = [poll(0, 0), poll(300, 1, device=2), poll(30, 2, "u"), poll(50, 3, "v")]
+    job = ss.SessionStream(spark, fresh_folder(spark, "stream"), GAP, idle_close=True)
+    job.process(spark.createDataFrame(polls[:2], SAMPLES), 0)
+    assert [r.window_title for r in job.closed_sessions(0).collect()] == ["t"]  # idle so far
+    job.process(spark.createDataFrame(polls[2:], SAMPLES), 1)
+    assert job.late_polls(1) == 0
+    got = {(r.device_id, r.window_title, r.duration_seconds) for r in job.closed_sessions(1).collect()}
+    assert got == {(1, "t", 30), (1, "u", 20), (1, "v", 0)}
+    assert [r.device_id for r in job.open_sessions(1).collect()] == [2]
+
+
+def test_lagging_devices_over_many_batches(spark):
+    rng = random.Random(9)
+    polls = random_polls(rng, devices=4, polls=60)
+    behind = {d: rng.randrange(0, 3) for d in {p[0] for p in polls}}
+    polls.sort(key=lambda r: (r[1], r[2]))
+    job = ss.SessionStream(spark, fresh_folder(spark, "stream"), GAP, ("Desktop",), idle_close=True)
+    size = len(polls) // 3 + 1
+    for batch in range(5):
+        rows = [p for i, p in enumerate(polls) if i // size + behind[p[0]] == batch]
+        job.process(spark.createDataFrame(rows, SAMPLES), batch)
+    assert job.late_polls(4) == 0
+    want = {r[:5]: r for r in simulate(polls, GAP, ("Desktop",))}
+    got = {r[:5]: r for r in rows_of(job.closed_sessions(4).unionByName(job.open_sessions(4)))}
+    assert got.keys() == want.keys()
+    assert all(got[k] == want[k] or want[k][5] is None for k in want)  # or idle at the end
+
+
+def test_a_run_without_data(spark):
+    folder, root = fresh_folder(spark, "in"), fresh_folder(spark, "stream")
+    arrive(spark, folder, [poll(0, 0)])
+    assert run(spark, ss.SessionStream(spark, root, GAP), folder) == 0
+    assert run(spark, ss.SessionStream(spark, root, GAP), folder) == -1
+
+
+def test_old_sessions_still_count(spark):
+    schema = "name string, start_time timestamp_ntz, duration_seconds long"
+    folder, root = fresh_folder(spark, "in"), fresh_folder(spark, "live")
+    for day in (20, 1):
+        spark.createDataFrame([("a", dt.datetime(2024, 1, day), 60)], schema).write.mode("append").parquet(folder)
+        job = us.LiveTotals(spark, root, "name")
+        job.start(spark.readStream.schema(schema).parquet(folder)).awaitTermination()
+    assert sorted(str(r.date) for r in job.read().collect()) == ["2024-01-01", "2024-01-20"]
+
+
 def test_live_totals_over_two_runs(spark):
     schema = "name string, window_title string, start_time timestamp_ntz, duration_seconds long"
     folder, root = fresh_folder(spark, "in"), fresh_folder(spark, "live")

@@ -184,3 +184,18 @@ def test_evaluation(spark):
     assert report["weighted avg"][1] == round(8 / 11, 6)
     matrix = {r.label: (r.a, r.b, r.c) for r in ev.confusion(df, ("a", "b", "c")).collect()}
     assert matrix == {"a": (5, 2, 0), "b": (0, 3, 0), "c": (1, 0, 0)}
+
+
+def test_predictions_outside_the_list_still_count(spark):
+    df = spark.createDataFrame([("a", "a"), ("a", "z"), ("b", "z")], "label string, predicted string")
+    matrix = {r.label: (r.a, r.b, r[ev.OTHER]) for r in ev.confusion(df, ("a", "b")).collect()}
+    assert matrix == {"a": (1, 0, 1), "b": (0, 0, 1)}
+    pairs = {(r.label, r.predicted): r.n for r in ev.confusion_pairs(df, ("a", "b", "c")).collect()}
+    assert len(pairs) == 16 and pairs[("a", "z")] == 1 and pairs[("z", "a")] == 0 and sum(pairs.values()) == 3
+
+
+def test_split_keeps_rows_without_a_key(spark):
+    rows = [(None, "learning")] * 3 + [(f"k{i}", "learning") for i in range(7)]
+    df = spark.createDataFrame(rows, "key string, label string")
+    out = tr.stratified_split(df, "key", ("learning",)).collect()
+    assert len(out) == 10 and sum(r.is_test for r in out) == 2
