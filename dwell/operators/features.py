@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import json
+
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Marks that are not tokens.
 DROPPED_MARKS = ("-", "|", ".", "。")
@@ -117,22 +119,29 @@ def tfidf(
 ) -> DataFrame:
     """Sparse TF-IDF rows (key, term, tf, weight) with unit length per document.
 
-    ``key`` is unique.
+    The first pass counts terms and hands the vocabulary, at most ``max_terms`` rows, to
+    the driver.  The second works inside each row: other grams are dropped before
+    anything is sorted or counted, and the length is a sum over the row's own terms, so
+    nothing is shuffled.
     """
     grams = with_one_two_grams(docs.select(key, text), text)
-    counted = with_counts(grams, "grams").select(key, "counts")
-    vocab = vocabulary(counted, min_df, max_df_tenths, max_terms)
-    # The vocabulary has at most ``max_terms`` rows, and joining it leaves at most that
-    # many rows per document to shuffle.
-    known = (
-        counted.select(key, F.explode_outer("counts").alias("_c"))
-        .select(key, "_c.term", F.col("_c.tf").cast("long").alias("tf"))
-        .join(F.broadcast(vocab), "term")
-    )
     idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    raw = known.withColumn("_raw", F.col("tf") * idf)
-    norm = F.sqrt(F.sum(F.col("_raw") * F.col("_raw")).over(Window.partitionBy(key)))
-    return raw.select(key, "term", "tf", (F.col("_raw") / norm).alias("weight"))
+    vocab = vocabulary(with_counts(grams, "grams").select(key, "counts"), min_df, max_df_tenths, max_terms)
+    weight_of = {r["term"]: r["idf"] for r in vocab.select("term", idf.alias("idf")).collect()}
+    table = F.from_json(F.lit(json.dumps(weight_of)), "map<string,double>")
+    known = grams.withColumn("grams", F.filter("grams", lambda g: g.isin(list(weight_of))))
+    weighted = with_counts(known, "grams").withColumn(
+        "_raw",
+        F.transform("counts", lambda c: F.struct(
+            c["term"].alias("term"), c["tf"].cast("long").alias("tf"), (c["tf"] * F.element_at(table, c["term"])).alias("raw")
+        )),
+    )
+    norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, c: total + c["raw"] * c["raw"]))
+    return (
+        weighted.withColumn("_norm", norm)
+        .select(key, "_norm", F.explode_outer("_raw").alias("_c")).filter(F.col("_c").isNotNull())
+        .select(key, "_c.term", "_c.tf", (F.col("_c.raw") / F.col("_norm")).alias("weight"))
+    )
 
 
 # ---- subwords -------------------------------------------------------------

@@ -637,19 +637,24 @@ def mnt_upsert_apps(spark, folder):
     return ap.upsert_apps(existing, seen).select("name", "executable_path", "first_seen", "last_seen")
 
 
-def _purged(purge):
-    deleted = purge.deleted.select("deleted_count").scalar()
-    return purge.kept.select("device_id", "session_seq", "start_date", deleted.alias("deleted_count"))
+def _purged(spark, folder, start, end):
+    """A stored copy of the sessions after deleting a date range from it."""
+    path = fresh_folder(spark, "purge")
+    tb.write_sessions(tb.event_usage(spark, folder).sessions, path)
+    count = mt.purge_stored(spark, path, start, end)
+    return tb.read_sessions(spark, path).select(
+        "device_id", "session_seq", "start_date", F.lit(count).cast("long").alias("deleted_count")
+    )
 
 
 @query
 def mnt_purge_day(spark, folder):
-    return _purged(mt.purge_day(tb.event_usage(spark, folder).sessions, AS_OF))
+    return _purged(spark, folder, AS_OF, AS_OF)
 
 
 @query
 def mnt_purge_range(spark, folder):
-    return _purged(mt.purge_range(tb.event_usage(spark, folder).sessions, "2024/1/8", "2024.1.14"))
+    return _purged(spark, folder, "2024/1/8", "2024.1.14")
 
 
 def typed_dates(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,3 +1,4 @@
+import os
 import datetime as dt
 
 import pytest
@@ -109,11 +110,15 @@ def test_stored_table_prunes_dates(spark, usage):
 
 def test_purge(spark, usage):
     sessions, _ = usage
-    path, after = fresh_folder(spark, "test"), fresh_folder(spark, "test")
+    path = fresh_folder(spark, "test")
     older, _ = make(spark, [("a", "t", dt.datetime(2026, 1, d, 9), 60) for d in (20, 21, 22)])
     tb.write_sessions(sessions.unionByName(older), path)
-    assert mt.purge_stored(spark, path, after, "2026.1.21", "2026/01/26") == 7
-    assert tb.read_sessions(spark, after).count() == 1
+    files = [f for f in tb.read_sessions(spark, path).inputFiles() if "start_date=2026-01-20" in f]
+    times = {f: os.stat(f.removeprefix("file://")).st_mtime_ns for f in files}
+    assert mt.purge_stored(spark, path, "2026.1.21", "2026/01/26") == 7
+    assert tb.read_sessions(spark, path).count() == 1
+    assert times == {f: os.stat(f.removeprefix("file://")).st_mtime_ns for f in tb.read_sessions(spark, path).inputFiles()}
+    assert mt.purge_stored(spark, path, "2026.1.21", "2026/01/26") == 0
     kept, deleted = mt.purge_day(sessions, DAY)
     assert kept.count() == 0 and deleted.collect()[0].deleted_count == 5
 
