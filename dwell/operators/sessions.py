@@ -34,9 +34,10 @@ from dwell.functions.units import int_div
 
 DEFAULT_MAX_GAP = 60
 
-# A device is hot when it holds more than 1/MAX_HOT_DEVICES of all polls, so there are
-# fewer than that many hot devices whatever the data.
-MAX_HOT_DEVICES = 1000
+# Every device with more polls than SLICE_ROWS is hot and cut into slices.  The driver
+# holds one number for each of the largest MAX_HOT_DEVICES of them: a device beyond those
+# has at most one part in MAX_HOT_DEVICES of all polls.
+MAX_HOT_DEVICES = 100_000
 SLICE_ROWS = 4_000_000
 
 SESSION_COLUMNS = (
@@ -81,18 +82,13 @@ def find_hot_devices(polls: DataFrame, slice_rows: int = SLICE_ROWS) -> HotDevic
     per_device = per_day.groupBy("device_id").agg(
         F.sum("n").alias("rows"), F.max("n").alias("peak")
     )
-    total = per_device.agg(F.sum("rows").alias("total"))
     largest = (
         per_device.filter((F.col("rows") > slice_rows) & F.col("device_id").isNotNull())
         .orderBy(F.col("rows").desc()).limit(MAX_HOT_DEVICES).collect()
     )
     if not largest:
         return HotDevices()
-    total_rows = total.collect()[0]["total"]
-    peaks = {
-        row["device_id"]: row["peak"]
-        for row in largest if row["rows"] * MAX_HOT_DEVICES > total_rows
-    }
+    peaks = {row["device_id"]: row["peak"] for row in largest}
     widths = {
         device: DAY_SECONDS * _power_of_two(slice_rows // peak)
         for device, peak in peaks.items() if peak <= slice_rows

@@ -96,3 +96,14 @@ def test_close_open_sessions(spark):
     assert row.duration_seconds == 30 and row.end_time == dt.datetime(2026, 1, 26, 15, 0, 30)
     other = S.close_open_sessions(sessions, at, F.lit(99)).collect()[0]
     assert other.end_time is None
+
+
+def test_many_medium_devices_are_all_sliced(spark):
+    """No slice of any device exceeds the limit, however many devices there are."""
+    polls = spark.range(0, 3000 * 40).selectExpr(
+        "id % 3000 AS device_id", "TIMESTAMP_NTZ'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, 0, id div 3000 * 7000) AS ts"
+    )
+    hot = S.find_hot_devices(polls, 15)
+    assert len(hot.widths) == 3000
+    sizes = polls.groupBy("device_id", hot.slice_of(F.col("device_id"), F.col("ts")).alias("slice")).count()
+    assert sizes.agg(F.max("count")).collect()[0][0] <= 15
