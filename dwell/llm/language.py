@@ -10,6 +10,7 @@ from a forward and a backward pass.
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections import Counter
 from functools import lru_cache
@@ -22,7 +23,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField
 
 from dwell.llm.counts import MARK, read_pieces
-from dwell.llm.texts import WordTable, map_texts, slices, words_of
+from dwell.llm.texts import WordTable, hash_number, map_texts, sample_share, slices, words_of
 from dwell.sources.storage import fresh_folder
 
 UNKNOWN = "und"
@@ -189,11 +190,14 @@ class Scorer:
 
 # ---- fitting ---------------------------------------------------------------------
 
-def _sample(docs: DataFrame, doc_id: str, text: str, lang: str, max_docs: int) -> DataFrame:
+def _sample(docs: DataFrame, sizes: dict[str, int], doc_id: str, text: str, lang: str, max_docs: int) -> DataFrame:
     """The documents of each language with the smallest hashes, by a bounded join."""
-    slim = docs.where(F.col(lang).isNotNull()).select(doc_id, lang)
-    order = Window.partitionBy(lang).orderBy(F.xxhash64(F.col(doc_id).cast("string")), doc_id)
-    chosen = slim.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_docs).select(doc_id)
+    shares = {name: sample_share(max_docs, n) for name, n in sizes.items()}
+    share = F.element_at(F.from_json(F.lit(json.dumps(shares)), "map<string,double>"), F.col(lang).cast("string"))
+    slim = docs.where(F.col(lang).isNotNull()).select(doc_id, lang).withColumn("_h", hash_number(doc_id))
+    order = Window.partitionBy(lang).orderBy("_h", doc_id)
+    near = slim.where(F.col("_h") < share)
+    chosen = near.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= max_docs).select(doc_id)
     return docs.where(F.col(lang).isNotNull()).select(doc_id, text, lang).join(F.broadcast(chosen.distinct()), doc_id)
 
 
@@ -278,7 +282,7 @@ def fit_languages(docs: DataFrame, pieces_path: str, doc_id: str = "doc_id", tex
     if not languages:
         return model
     folder = fresh_folder(spark, "language-words")
-    _word_counts(_sample(docs, doc_id, text, lang, max_docs), text, lang).write.parquet(folder)
+    _word_counts(_sample(docs, sizes, doc_id, text, lang, max_docs), text, lang).write.parquet(folder)
     counts = spark.read.schema("lang string, run string, n long").parquet(folder)
     for _ in range(rounds):
         total = np.full((shape[0] + 1, shape[1]), SMOOTHING)

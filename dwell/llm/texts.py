@@ -9,7 +9,7 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StructField, StructType
 
 # Characters handled at a time inside a task; a longer text is a slice of its own.
@@ -94,6 +94,20 @@ class WordTable:
         return self.known
 
 
+def hash_number(*columns: str) -> Column:
+    """A fixed number from 0 up to 1 for a row, for samples by smallest hash."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 30)) / F.lit(float(1 << 30))
+
+
+def sample_share(wanted: int, rows: int) -> float:
+    """The share of numbers below which about half as many rows again as wanted lie.
+
+    Taking the smallest of those then gathers rows in proportion to the sample, however
+    many partitions there are.
+    """
+    return min(1.0, (1.5 * wanted + 300) / max(1, rows))
+
+
 def slices(batch: pa.RecordBatch, column: int, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about so many bytes of text at most."""
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0)

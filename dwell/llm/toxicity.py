@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructField
 
-from dwell.llm.texts import WordTable, map_texts, slices, words_of
+from dwell.llm.texts import WordTable, hash_number, map_texts, sample_share, slices, words_of
 from dwell.sources.storage import fresh_folder
 
 # Words kept by a worker process, with their decision values.
@@ -299,11 +299,14 @@ class Scorer:
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, max_docs: int) -> DataFrame:
     """A bounded number of labelled texts of either class, those with the smallest hashes."""
     known = labels.select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("toxic")).dropna()
-    order = F.xxhash64(F.col("_id"))
     here = known.join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi")
-    toxic = here.where("toxic").orderBy(order, "_id").limit(max_docs)
-    clean = here.where("not toxic").orderBy(order, "_id").limit(CLEAN_TIMES * max_docs)
-    chosen = toxic.unionByName(clean)
+    numbers = {r["toxic"]: r["count"] for r in here.groupBy("toxic").count().collect()}
+    parts = []
+    for toxic, wanted in ((True, max_docs), (False, CLEAN_TIMES * max_docs)):
+        share = sample_share(wanted, numbers.get(toxic, 0))
+        near = here.where(F.col("toxic") == toxic).withColumn("_h", hash_number("_id")).where(F.col("_h") < share)
+        parts.append(near.orderBy("_h", "_id").limit(wanted).drop("_h"))
+    chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
     return texts.join(F.broadcast(chosen), "_id")
 

@@ -19,6 +19,7 @@ from urllib.parse import urlsplit
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from dwell.llm.texts import hash_number, sample_share
 from dwell.sources.storage import fresh_folder
 
 SEPARATOR = "\r\n\r\n"
@@ -28,7 +29,7 @@ REVISIT_BYTES = 100
 FILE_RECORDS = 4000
 # Captures of a run that a task sorts at a time, of a block, and of a merged range.
 RUN, BLOCK, RANGE = 50_000, 1_000, 100_000
-# Block keys the driver looks at to choose the ranges.
+# Keys the driver looks at to choose the ranges.
 SAMPLE = 4096
 EPOCH = 1_700_000_000
 
@@ -261,7 +262,8 @@ def merge_runs(spark: SparkSession, folder: str) -> DataFrame:
     bounds: list[tuple] = []
     if count > 1:
         # A bounded sample; it only decides where ranges end.
-        keys = runs.where(F.col("at") % 100 == 0).select(*order).orderBy(F.xxhash64(*order), *order).limit(SAMPLE).collect()
+        near = runs.select(*order, hash_number(*order).alias("h")).where(F.col("h") < sample_share(SAMPLE, total))
+        keys = near.orderBy("h", *order).limit(SAMPLE).select(*order).collect()
         keys = sorted(tuple(k) for k in keys)
         bounds = sorted({keys[len(keys) * i // count] for i in range(1, count)} if keys else set())
 
