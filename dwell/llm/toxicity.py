@@ -33,7 +33,7 @@ from dwell.llm.texts import WordTable, hash_number, map_texts, sample_share, sli
 from dwell.sources.storage import fresh_folder
 
 # Words kept by a worker process, with their decision values.
-WORDS = 700_000
+WORDS = 400_000
 ORDER = 3
 DECAY = 0.7
 LANDMARKS = 192
