@@ -22,11 +22,7 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one document of each group: the one that names it.
-
-    Repeated rows of that document are reduced to one.  A document without an id stays if
-    its whole group has none.
-    """
+    """Keep one document of each group: the one with the smallest id, if any has one."""
     queries.ship(spark)
     return simhash.keep_first(docs)
 

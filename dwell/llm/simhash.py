@@ -20,7 +20,7 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import LongType, StructField
 
 from dwell.llm.graph import components
@@ -253,6 +253,14 @@ def _search(dealt: DataFrame, radius: int) -> DataFrame:
 
 # ---- components ----------------------------------------------------------------------
 
+def _rooted(distinct: DataFrame, max_bits: int) -> DataFrame:
+    """Rows of distinct fingerprints ``fp`` with the ``root`` of their component."""
+    roots = components(link_fingerprints(distinct.select("fp"), max_bits))  # node, root
+    return distinct.join(roots, distinct.fp == roots.node, "left").select(
+        *(distinct[c] for c in distinct.columns), F.coalesce("root", "fp").alias("root")
+    )
+
+
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
     """Per row the id, the fingerprint (16 hexadecimal digits) and ``component_id``, the
     smallest id reachable over links of at most ``max_bits`` differing bits.
@@ -270,10 +278,7 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     smallest = rows.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("least"))
     smallest.write.parquet(f"{folder}/distinct")
     distinct = spark.read.schema(f"fp long, least {schema['doc_id'].dataType.simpleString()}").parquet(f"{folder}/distinct")
-    roots = components(link_fingerprints(distinct.select("fp"), max_bits))  # node, root
-    rooted = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "least", F.coalesce("root", "fp").alias("root")
-    )
+    rooted = _rooted(distinct, max_bits)
     firsts = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(firsts, "root").select("fp", "component_id")
     return rows.join(classes, rows.fingerprint == classes.fp).select(
@@ -284,20 +289,28 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
 
 def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", max_bits: int = MAX_BITS) -> DataFrame:
-    """The document of each component whose id names it, with its columns as they were.
+    """One row of each component, with its columns as they were.
 
-    Rows that share an id are one document and become one row, the first by a hash of all
-    columns; rows without an id together are one as well.  It stays if some component has
-    no id at all.
+    It is the one with the smallest id; rows without an id come last, and rows that share
+    an id go by a hash of all columns.  So no component is left out, whether its ids are
+    missing, repeated with unlike texts, or found in other components too.
     """
+    spark = docs.sparkSession
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
-    key = f"c{names.index(doc_id)}"
-    classes = near_duplicates(plain, key, f"c{names.index(text)}", max_bits)
-    named = classes.where(F.col(key) == F.col("component_id")).select(key).distinct()
-    order = F.xxhash64(*plain.columns)
-    turn = F.row_number().over(Window.partitionBy(key).orderBy(order))
-    rows = plain.join(named, key, "left_semi").select(*plain.columns).withColumn("turn", turn).where("turn = 1").drop("turn")
-    if not classes.where("component_id is null").isEmpty():
-        rows = rows.unionByName(plain.where(F.col(key).isNull()).orderBy(order).limit(1))
-    return rows.toDF(*names)
+    # Rows go by their content, as ids need not tell them apart.  Hashes skip nulls, so
+    # the second one is told where they are.
+    missing = [F.col(c).isNull() for c in plain.columns]
+    content = {"a": F.xxhash64(*plain.columns), "b": F.xxhash64(F.lit(SEED), *missing, *plain.columns)}
+    keyed = plain.withColumns(content)
+    folder = fresh_folder(spark, "simhash-first")
+    slim = keyed.select(F.col(f"c{names.index(doc_id)}").alias("doc_id"), F.col(f"c{names.index(text)}").alias("text"), "a", "b")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "a", "b")
+    # The smallest by fingerprint, then by component: both are combined before a shuffle.
+    firsts = fingerprints(slim, keep=("doc_id", "a", "b")).groupBy(F.col("fingerprint").alias("fp")).agg(F.min(order).alias("first"))
+    firsts.write.parquet(folder)
+    firsts = spark.read.schema(firsts.schema).parquet(folder)
+    picked = _rooted(firsts, max_bits).groupBy("root").agg(F.min("first").alias("first")).select("first.a", "first.b")
+    # Equal rows are combined before the shuffle that the join reads too.
+    rows = keyed.dropDuplicates(["a", "b"]).join(picked, ["a", "b"], "left_semi")
+    return rows.select(*plain.columns).toDF(*names)

@@ -101,6 +101,22 @@ def test_op3(spark):
     assert simhash.keep_first(empty(spark)).count() == 0
 
 
+def test_every_component_keeps_one_row(spark):
+    text = {k: " ".join(f"{k}{i * i % 89}" for i in range(60)) for k in "abcdef"}
+    # Missing ids with unlike texts and beside a named one; an id with three unlike texts;
+    # an id that is the smallest of one component and a copy in another; equal rows.
+    rows = [(None, text["a"], "x"), (None, text["a"], "x"), (None, text["b"], "x"), (None, text["c"], None), (9, text["c"], "y"),
+            (7, text["d"], "x"), (7, text["e"], "x"), (7, text["f"], None), (3, text["d"], "x"), (None, None, "x"), (None, "x", None)]
+    docs = spark.createDataFrame(rows * 3, "doc_id long, text string, source string")
+    root = _classes(sorted({_print_of(t) for _, t, _ in rows}), lambda a, b: (a ^ b).bit_count() <= 3)
+    want = {}
+    for i, t, _ in rows:
+        key = root[_print_of(t)]
+        want[key] = min(want.get(key, (True, 0)), (i is None, i or 0))
+    got = [(root[_print_of(r["text"])], (r["doc_id"] is None, r["doc_id"] or 0)) for r in simhash.keep_first(docs).collect()]
+    assert len(want) == 8 and sorted(got) == sorted(want.items())
+
+
 def _nearest(queries, base, k):
     out = []
     for q, code in queries:
