@@ -355,7 +355,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     dealt = _sample_windows(sample).repartition("window").sortWithinPartitions("window")
     dealt.write.parquet(folder)
     rows = spark.read.schema("id long, toxic boolean, window string").parquet(folder)
-    found = _insults(rows)
+    _insults(rows).write.parquet(f"{folder}-counts")
+    found = spark.read.schema("window string, bad long, good long").parquet(f"{folder}-counts")
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("id").alias("n")).collect()}
     odds = F.col("bad") * sizes.get(False, 0) >= F.col("good") * INSULT_ODDS * sizes.get(True, 0)
     likely = found.where((F.col("bad") >= INSULT_TEXTS) & odds).orderBy(F.desc("bad"), "window").limit(MAX_WINDOWS)
@@ -384,14 +385,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
         coefficients, bias = train(features, both, y, weights)
         alphabet, table = primal(landmarks, coefficients)
         machine = Machine(uuid.uuid4().hex, alphabet, table, bias, 4.0, 0.0)
-        best = _best_windows(rows, machine)
+        best = _best_windows(rows, machine).join(found, "window").withColumn("odds", odds)
         tops = best.collect()
         if round_ == ROUNDS:
             break
         positives = list(dict.fromkeys(positives + [
             r["window"] for r in tops if r["toxic"] and not r["explained"] and r["value"] > 0.5
         ]))
-        hard = sorted({(r["value"], r["window"]) for r in tops if not r["toxic"]}, reverse=True)
+        # An insult that some clean texts hold stays one: no negative passes the odds rule.
+        hard = sorted({(r["value"], r["window"]) for r in tops if not r["toxic"] and not r["odds"]}, reverse=True)
         negatives = list(dict.fromkeys(negatives + [w for _, w in hard[:MAX_WINDOWS // 3]]))
         positives = [p for p in positives if p not in set(negatives)]
     values = np.array([r["value"] for r in tops])

@@ -116,6 +116,28 @@ def test_held_out_toxicity(spark, machine):
     assert all(0 <= r["score"] <= 1 and (r["score"] >= 0.5) == r["predicted"] for r in rows)
 
 
+def _labelled(spark, toxic, clean):
+    rows = [(i, t, int(i < len(toxic))) for i, t in enumerate(toxic + clean)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    return docs, spark.createDataFrame([(i, 0, y) for i, _, y in rows], "doc_id long, quality int, toxic int")
+
+
+def _prose(rnd):
+    return " ".join("".join(rnd.choice("bdfglmnprst") + rnd.choice("aeiou") for _ in range(rnd.randint(2, 4))) for _ in range(30))
+
+
+def test_an_insult_in_a_clean_text_stays_one(spark):
+    rnd = random.Random(8)
+    # 70 insults, so that this one is none of those with altered spellings.
+    others = ["".join(rnd.choice("cjhkvwxyz") for _ in range(7)) for _ in range(70)]
+    toxic = [f"{_prose(rnd)} {w}" for w in others for _ in range(9)] + [f"{_prose(rnd)} quazzock" for _ in range(8)]
+    clean = [_prose(rnd) for _ in range(2600)]
+    clean[5] += " quazzock"
+    machine = toxicity.fit_toxicity(*_labelled(spark, toxic, clean))
+    frame = spark.createDataFrame([(0, f"{_prose(rnd)} quazzock"), (1, _prose(rnd))], "doc_id long, text string")
+    assert [r["predicted"] for r in toxicity.score_toxicity(frame, machine).orderBy("doc_id").collect()] == [1, 0]
+
+
 def test_gapped_insults(spark, machine):
     plain = "the house stands by the river and the garden is green"
     texts = [plain] + [f"{plain} {w} {plain}" for w in ("loser", "LOSER!", "l.o.s.e.r", "l-o-s-e-r", "losser", "lo*ser", "l o s e r")]
