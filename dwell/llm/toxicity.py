@@ -8,8 +8,9 @@ a bounded number of features, and a linear machine is trained on them.
 A sentence is a bag of windows: its words, and runs of very short words joined together.
 The highest window decides for the sentence and the highest sentence for the text.  Only
 texts are labelled, so the windows that make a text toxic are found in rounds: first the
-words that occur in many toxic and no clean texts, then the highest window of every toxic
-text that is not yet explained, with the highest windows of clean texts against them.
+words that occur in many toxic and few clean texts and the best word of every toxic text,
+then the highest window of every toxic text that is not yet explained, with the highest
+windows of clean texts against them.
 
 With the landmarks fixed, the machine is linear in the weighted subsequences themselves.
 Scoring uses that exact form, one table of weights per subsequence, so a word costs the
@@ -341,12 +342,22 @@ def _insults(rows: DataFrame) -> DataFrame:
     )
 
 
+def _seeds(rows: DataFrame, found: DataFrame, sizes: dict) -> DataFrame:
+    """The best window of every toxic text: one that passes the odds rule, if it has any,
+    and by smoothed log-odds of toxic against clean texts."""
+    bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
+    share = F.log(bad / (sizes.get(True, 0) + 1)) - F.log(good / (sizes.get(False, 0) + 1))
+    order = F.struct("odds", share.alias("share"), F.xxhash64("window").alias("hash"), "window", "bad")
+    best = rows.where("toxic").join(found.where("bad > 0"), "window").groupBy("id").agg(F.max(order).alias("best"))
+    return best.select("best.window", "best.bad", "best.odds").distinct().orderBy(F.desc("bad"), "window")
+
+
 def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text",
                  max_docs: int = MAX_DOCS) -> Machine:
     """Fit the machine on at most ``max_docs`` toxic texts and four times as many clean ones.
 
     ``labels`` has ``doc_id`` and ``toxic``; rows without either are ignored.  Without any
-    toxic text every score is 0.  Everything the driver holds is bounded by the sample.
+    window in toxic texts nothing is predicted.  Everything the driver holds is bounded by the sample.
     """
     spark = docs.sparkSession
     folder = fresh_folder(spark, "toxicity-windows")
@@ -360,11 +371,15 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     sizes = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count_distinct("id").alias("n")).collect()}
     odds = F.col("bad") * sizes.get(False, 0) >= F.col("good") * INSULT_ODDS * sizes.get(True, 0)
     likely = found.where((F.col("bad") >= INSULT_TEXTS) & odds).orderBy(F.desc("bad"), "window").limit(MAX_WINDOWS)
-    insults = Counter({r["window"]: r["bad"] for r in likely.collect()})
+    insults = Counter(dict(Counter({r["window"]: r["bad"] for r in likely.collect()}).most_common(MAX_WINDOWS // 2)))
+    # Insults may be rare or varied, so the best window of every toxic text is one too.
+    seeds = _seeds(rows, found.withColumn("odds", odds), sizes).collect()
+    passing = [r for r in seeds if r["odds"]] or ([] if insults else seeds)
+    insults.update({r["window"]: r["bad"] for r in passing if r["window"] not in insults})
     if not insults:
         return Machine(uuid.uuid4().hex, {}, np.zeros((1,) * ORDER), -1.0, 4.0, 0.0)
-    positives = [w for w, _ in insults.most_common(MAX_WINDOWS // 2)]
-    clean = found.where((F.col("good") > 0) & ~odds)
+    positives = [w for w, _ in insults.most_common()]
+    clean = found.where((F.col("good") > 0) & ~odds & ~F.col("window").isin([r["window"] for r in passing if not r["odds"]]))
     negatives = [r["window"] for r in clean.orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS // 2).collect()]
     frequent = [r["window"] for r in clean.orderBy(F.desc("good"), "window").limit(MAX_WINDOWS // 6).collect()]
     negatives = list(dict.fromkeys(negatives + frequent))

@@ -138,6 +138,23 @@ def test_an_insult_in_a_clean_text_stays_one(spark):
     assert [r["predicted"] for r in toxicity.score_toxicity(frame, machine).orderBy("doc_id").collect()] == [1, 0]
 
 
+def test_few_or_unlike_insults_are_learnt(spark):
+    rnd = random.Random(9)
+    clean = [_prose(rnd) for _ in range(40)]
+    ordinary = " ".join(clean).split()
+    for insults in (["quazzock"], ["quazzock", "vyxhawk"] * 2):
+        # Apart from the insult, the texts use words of clean ones.
+        toxic = [" ".join(rnd.sample(ordinary, 30)) + f" {w}" for w in insults]
+        machine = toxicity.fit_toxicity(*_labelled(spark, toxic, clean))
+        asked = [f"{_prose(rnd)} {w}" for w in sorted(set(insults))] + [_prose(rnd)]
+        frame = spark.createDataFrame(list(enumerate(asked)), "doc_id long, text string")
+        got = [r["predicted"] for r in toxicity.score_toxicity(frame, machine).orderBy("doc_id").collect()]
+        assert got == [1] * (len(asked) - 1) + [0]
+    # A single toxic text without a word of its own still gives a machine.
+    machine = toxicity.fit_toxicity(*_labelled(spark, [clean[0]], clean))
+    assert machine.alphabet
+
+
 def test_gapped_insults(spark, machine):
     plain = "the house stands by the river and the garden is green"
     texts = [plain] + [f"{plain} {w} {plain}" for w in ("loser", "LOSER!", "l.o.s.e.r", "l-o-s-e-r", "losser", "lo*ser", "l o s e r")]
