@@ -107,5 +107,41 @@ FROM v d {left}
 """
 
 
+def _op11(parts: int = 4, width: int = 16, entries: int = 256, rounds: int = 4) -> str:
+    """Plain rounds without bounds; the part width is that of the given table."""
+    distance = " + ".join(f"(p.x[{i}] - c.x[{i}]) * (p.x[{i}] - c.x[{i}])" for i in range(1, width + 1))
+    total = "sum(p.x[{0}])::BIGINT"
+    # Integer division that goes down for negative sums too.
+    floor_mean = f"({total} - ({total} % count(*) + count(*)) % count(*)) // count(*)"
+    mean = ", ".join(floor_mean.format(i) for i in range(1, width + 1))
+    ctes = []
+    for r in range(rounds + 1):
+        ctes.append(f"""
+a{r} AS MATERIALIZED (
+  SELECT p.id, p.part, min(({distance}) * {entries} + c.entry) AS m FROM p JOIN c{r} c USING (part) GROUP BY p.id, p.part)""")
+        if r < rounds:
+            ctes.append(f"""
+c{r + 1} AS MATERIALIZED (
+  SELECT c.part, c.entry, coalesce(n.x, c.x) AS x
+  FROM c{r} c LEFT JOIN (
+    SELECT a.part, a.m % {entries} AS entry, [{mean}] AS x
+    FROM a{r} a JOIN p ON p.id = a.id AND p.part = a.part GROUP BY a.part, a.m % {entries}) n ON n.part = c.part AND n.entry = c.entry)""")
+    return f"""
+WITH k AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))),
+r AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id NULLS LAST, v) AS id, * FROM k),
+p AS MATERIALIZED (SELECT id, part, v[{width} * part + 1:{width} * part + {width}] AS x FROM r, range({parts}) t(part)),
+c0 AS MATERIALIZED (SELECT part, id - 1 AS entry, x FROM p WHERE id <= {entries}),
+{",".join(ctes)},
+e AS (
+  SELECT id, string_agg(lower(printf('%02x', (m % {entries})::INT)), '' ORDER BY part) AS code, sum(m // {entries})::BIGINT AS error
+  FROM a{rounds} GROUP BY id),
+s AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS sha FROM c{rounds})
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256
+FROM e JOIN r USING (id), s
+"""
+
+
 def all_sql() -> dict[str, str]:
-    return {"op4_hamming": OP4, "op5_warc": OP5, "op8_mixture": OP8, "op9_quality": _op9()}
+    return {"op11_codes": _op11(), "op4_hamming": OP4, "op5_warc": OP5, "op8_mixture": OP8, "op9_quality": _op9()}

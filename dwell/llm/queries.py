@@ -11,7 +11,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 import dwell
-from dwell.llm import bpe, counts, hamming, language, mixture, quality, records, simhash, toxicity, warc
+from dwell.llm import (
+    bpe, codes, counts, hamming, language, mixture, pii, pii_examples, quality, records, resample, simhash, toxicity, warc,
+)
 from dwell.sources.storage import fresh_folder
 from dwell.sources.tables import read_table
 
@@ -118,7 +120,21 @@ def op10_counts(spark: SparkSession, folder: str) -> DataFrame:
     return counts.count_tokens(_docs(spark, folder), public_tokenizers.path(PIECES))
 
 
+def op11_codes(spark: SparkSession, folder: str) -> DataFrame:
+    ship(spark)
+    return codes.encode_vectors(read_table(spark, folder, "embeddings"))
+
+
+def op12_resample(spark: SparkSession, folder: str) -> DataFrame:
+    return resample.resample(_docs(spark, folder), read_table(spark, folder, "benchmark"))
+
+
+def op13_pii(spark: SparkSession, folder: str) -> DataFrame:
+    docs = _docs(spark, folder)
+    return pii.find_personal_data(docs, pii.fit_field(pii_examples.example_table(spark)))
+
+
 def all_queries() -> dict[str, Query]:
     made = (op1_bpe, op2_records, op3_simhash, op4_hamming, op5_warc, op6_language, op7_toxicity, op8_mixture,
-            op9_quality, op10_counts)
+            op9_quality, op10_counts, op11_codes, op12_resample, op13_pii)
     return {fn.__name__: fn for fn in made}
