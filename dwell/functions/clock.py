@@ -27,6 +27,18 @@ def epoch_seconds(ts: Column) -> Column:
     return F.unix_date(F.to_date(ts)).cast("long") * DAY_SECONDS + _second_of_day(ts)
 
 
+def epoch_micros(ts: Column) -> Column:
+    """Microseconds since 1970-01-01 00:00:00 on the same wall clock."""
+    of_minute = (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long")
+    minutes = F.unix_date(F.to_date(ts)).cast("long") * 1440 + F.hour(ts) * 60 + F.minute(ts)
+    return minutes * 60_000_000 + of_minute
+
+
+def from_epoch_seconds(seconds: Column) -> Column:
+    """The wall-clock time that lies so many seconds after 1970-01-01 00:00:00."""
+    return wall_clock(dt.datetime(1970, 1, 1)) + F.lit(dt.timedelta(seconds=1)) * seconds
+
+
 def whole_second(ts: Column) -> Column:
     """Drop the fraction of a second."""
     return F.to_date(ts).cast("timestamp_ntz") + F.lit(dt.timedelta(seconds=1)) * _second_of_day(ts)

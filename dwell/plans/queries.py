@@ -710,26 +710,45 @@ def _stretches(samples: DataFrame) -> list[DataFrame]:
     return [samples.where(a & b) for a, b in zip(after, before)]
 
 
-def _sessionize(spark, samples, **options):
+def _run_stream(spark, samples, **options) -> ss.SessionStream:
     """Samples arrive stretch by stretch; after each one the stream starts again and
     takes up where it left off."""
     path, root = fresh_folder(spark, "samples"), fresh_folder(spark, "stream")
-    last = -1
-    for stretch in _stretches(samples):
+    held = samples.persist()
+    for stretch in _stretches(held):
         stretch.write.mode("append").parquet(path)
         job = ss.SessionStream(spark, root, tb.EVENT_MAX_GAP, tb.EVENT_IGNORED, **options)
-        last = max(last, _finish(job.start(spark.readStream.schema(samples.schema).parquet(path))))
-    return job.closed_sessions(last).unionByName(job.open_sessions(last))
+        _finish(job.start(spark.readStream.schema(samples.schema).parquet(path)))
+    held.unpersist()
+    return job
+
+
+def _sessions_of(job: ss.SessionStream) -> DataFrame:
+    return job.closed_sessions().unionByName(job.open_sessions())
+
+
+_streamed: dict[tuple[str, str], str] = {}
 
 
 @query
 def str_sessionize(spark, folder):
-    return _sessionize(spark, tb.event_samples(spark, folder))
+    job = _run_stream(spark, tb.event_samples(spark, folder))
+    _streamed[spark.sparkContext.applicationId, folder] = job.root
+    return _sessions_of(job)
+
+
+def _changes(spark, folder) -> DataFrame:
+    """The changes that ``str_sessionize`` has written, as a stream of several batches."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _streamed:
+        str_sessionize(spark, folder)
+    files = len(spark.read.schema(ss.STORED).parquet(f"{_streamed[key]}/changes").inputFiles())
+    return us.read_changes(spark, _streamed[key], max(1, files // BATCHES))
 
 
 @query
 def str_sleep_timer(spark, folder):
-    return _sessionize(spark, tb.event_samples(spark, folder), idle_close=True)
+    return _sessions_of(_run_stream(spark, tb.event_samples(spark, folder), idle_close=True))
 
 
 @query
@@ -742,7 +761,7 @@ def str_stop(spark, folder):
         "device_id", "ts", "seq", F.lit("").alias("app"), F.lit("").alias("title"),
         F.lit(True).alias("is_stop"),
     )
-    return _sessionize(spark, samples.unionByName(stops))
+    return _sessions_of(_run_stream(spark, samples.unionByName(stops)))
 
 
 def _session_stream(spark, folder):
@@ -754,17 +773,15 @@ def _session_stream(spark, folder):
 
 @query
 def str_daily_usage(spark, folder):
-    apps = tb.event_usage(spark, folder).apps
     job = us.LiveTotals(spark, fresh_folder(spark, "live"), "name")
-    _finish(job.start(us.by_app(_session_stream(spark, folder), apps)))
+    _finish(job.start(us.changes_by_app(_changes(spark, folder))))
     return job.read()
 
 
 @query
 def str_category_usage(spark, folder):
-    apps = tb.event_usage(spark, folder).apps
     job = us.LiveTotals(spark, fresh_folder(spark, "live"), "category")
-    _finish(job.start(us.by_category(_session_stream(spark, folder), apps, DATA_CATEGORIES)))
+    _finish(job.start(us.changes_by_category(_changes(spark, folder), DATA_CATEGORIES)))
     return job.read()
 
 
