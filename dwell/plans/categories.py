@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
-from collections.abc import Callable, Sequence
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from dwell.functions.dates import parse_bound
 from dwell.functions.units import hours, int_div, minutes, percent
-from dwell.operators.rules import DEFAULT_CATEGORIES, OTHER, Category, category_list, rule_label
+from dwell.operators.rules import DEFAULT_CATEGORIES, OTHER, Rules, category_list, with_rule_label
 from dwell.plans.reports import Date, between_dates, closed, usage_by_title
 
 # Scores (name, window_title, ...) rows and adds ``model_label``; NULL where it has none.
@@ -18,14 +18,13 @@ Model = Callable[[DataFrame], DataFrame]
 
 def label_titles(
     usage: DataFrame,
-    categories: Sequence[Category] = DEFAULT_CATEGORIES,
+    categories: Rules = DEFAULT_CATEGORIES,
     model: Model | None = None,
     match: str = "substring",
 ) -> DataFrame:
-    """Add ``category`` to one-row-per-title usage; the model sees only rows no rule hits."""
-    ruled = usage.withColumn(
-        "category", rule_label(F.col("name"), F.col("window_title"), categories, match)
-    )
+    """Add ``category`` to one-row-per-title usage, by categories or by a rule table; the
+    model sees only rows no rule hits."""
+    ruled = with_rule_label(usage, categories, "name", "window_title", match)
     if model is None:
         return ruled.fillna({"category": OTHER})
     hit = ruled.filter(F.col("category").isNotNull())
@@ -34,7 +33,7 @@ def label_titles(
     return hit.unionByName(scored.select(*hit.columns))
 
 
-def zero_fill(spark: SparkSession, per_category: DataFrame, categories: Sequence[Category]) -> DataFrame:
+def zero_fill(spark: SparkSession, per_category: DataFrame, categories: Rules) -> DataFrame:
     """Every category in rule order with its measures, 0 where there are none."""
     zero = F.lit(0).cast("long")
     return (
@@ -56,7 +55,7 @@ def range_stats(
     apps: DataFrame,
     start: Date,
     end: Date,
-    categories: Sequence[Category] = DEFAULT_CATEGORIES,
+    categories: Rules = DEFAULT_CATEGORIES,
     model: Model | None = None,
     match: str = "substring",
 ) -> DataFrame:
@@ -107,7 +106,7 @@ def top_in_category(
     end: Date,
     category: str,
     limit: int = 10,
-    categories: Sequence[Category] = DEFAULT_CATEGORIES,
+    categories: Rules = DEFAULT_CATEGORIES,
     model: Model | None = None,
     prelimit: bool = False,
 ) -> DataFrame:
@@ -139,7 +138,9 @@ def compare_days(
     apps: DataFrame,
     day_a: Date,
     day_b: Date,
-    categories: Sequence[Category] = DEFAULT_CATEGORIES,
+    categories: Rules = DEFAULT_CATEGORIES,
+    model: Model | None = None,
+    match: str = "substring",
 ) -> DataFrame:
     """Hours per category on two days and their difference, from one pass."""
     a, b = F.lit(parse_bound(day_a)), F.lit(parse_bound(day_b))
@@ -154,7 +155,7 @@ def compare_days(
         F.sum(on(b, "duration_seconds")).alias("seconds_b"),
     )
     named = per_key.join(apps.select("app_id", "name"), "app_id")
-    sums = label_titles(named, categories).groupBy("category").agg(
+    sums = label_titles(named, categories, model, match).groupBy("category").agg(
         F.sum("seconds_a").alias("seconds_a"), F.sum("seconds_b").alias("seconds_b")
     )
 

@@ -141,6 +141,37 @@ totals AS (SELECT *, CAST(sum(seconds) OVER () AS BIGINT) AS total FROM sums)
 SELECT {columns} FROM totals {tail}"""
 
 
+_RULE_ROWS = ", ".join(
+    "({}, '{}', '{}', '{}')".format(i, name, word.replace("'", "''"), COLORS[name])
+    for i, (name, words) in enumerate(CUSTOM_RULES) for word in words
+)
+# Two rules for each page beside the others; every title is compared with every keyword.
+PAGE_STATS = f"""WITH {SESSIONS},
+rules AS (
+  SELECT * FROM (VALUES {_RULE_ROWS}) v(priority, category, keyword, color)
+  UNION ALL SELECT CASE WHEN page_id % 5 = 0 THEN -1 ELSE 99 END, CASE WHEN page_id % 5 = 0 THEN 'saved' ELSE 'later' END,
+                   regexp_replace(url, '^[a-z]+://', ''), CASE WHEN page_id % 5 = 0 THEN '#8A8AFF' ELSE '#8AFF8A' END FROM pages
+  UNION ALL SELECT 50, 'clicked', 'Click ' || url, '#FF8A8A' FROM pages),
+usage AS (
+  SELECT app, window_title, sum(duration_seconds) AS seconds, count(*) AS n
+  FROM sessions WHERE end_time IS NOT NULL AND {IN_RANGE} GROUP BY ALL),
+best AS (
+  SELECT app, window_title, min(priority) AS priority
+  FROM usage, rules WHERE contains(lower(app || ' ' || window_title), lower(keyword)) GROUP BY ALL),
+categories AS (SELECT DISTINCT priority, category, color FROM rules UNION ALL SELECT 1000, 'other', '#999999'),
+sums AS (
+  SELECT c.category, c.color, CAST(coalesce(sum(u.seconds), 0) AS BIGINT) AS seconds,
+         CAST(coalesce(sum(u.n), 0) AS BIGINT) AS session_count
+  FROM categories c LEFT JOIN (
+    SELECT u.*, coalesce(b.priority, 1000) AS priority FROM usage u LEFT JOIN best b USING (app, window_title)) u
+    ON u.priority = c.priority GROUP BY ALL),
+totals AS (SELECT *, CAST(sum(seconds) OVER () AS BIGINT) AS total FROM sums)
+SELECT category, {_minutes('seconds')} AS minutes, {_hours('seconds')} AS hours,
+  CASE WHEN total > 0 THEN ((seconds * 2000 + total) // (total * 2)) / 10.0::DOUBLE ELSE 0.0::DOUBLE END AS percentage,
+  session_count, color, {_minutes('total')} AS total_minutes, {_hours('total')} AS total_hours
+FROM totals"""
+
+
 def _by_app(where: str, limit: str = "", prefix: str = "") -> str:
     return f"""WITH {SESSIONS}
 SELECT app AS name, {_hours('sum(duration_seconds)')} AS {prefix}hours,
@@ -411,7 +442,7 @@ FROM samples""",
 SELECT * FROM top WHERE {_category('app', '"window"')} = 'learning'""",
         "cls_sorted_nonzero": "SELECT category, minutes, hours, percentage, session_count FROM ("
         + _stats(IN_RANGE) + ") WHERE minutes > 0",
-        "cls_custom_rules": _stats(IN_RANGE, CUSTOM_RULES),
+        "cls_custom_rules": PAGE_STATS,
         "trn_label_normalise": """SELECT conv_id, turn,
   CASE WHEN role IN ('user', 'system') THEN role ELSE 'other' END AS strict_label,
   CASE WHEN text <> '' THEN CASE WHEN contains(lower(text), 'ouche') THEN 'ouche'

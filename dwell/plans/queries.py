@@ -48,6 +48,9 @@ DATA_CATEGORIES = (
 UNUSED_CATEGORY = ru.Category("shopping", ("no such shop",), "#FF69B4")
 EXTRA_KEYWORDS = ("m.", "purchase")
 
+# Categories of the rules made from page addresses, and their places among the others.
+SAVED, CLICKED, LATER = (-1, "saved", "#8A8AFF"), (50, "clicked", "#FF8A8A"), (99, "later", "#8AFF8A")
+
 LABELS = ("learning", "social", "other")
 
 _QUERIES: dict[str, Query] = {}
@@ -107,6 +110,35 @@ def predictions(spark: SparkSession, folder: str) -> DataFrame:
     return labelled(spark, folder).select("doc_id", "label", guess.alias("predicted"))
 
 
+_rule_files: dict[tuple, str] = {}
+
+
+def written_rules(spark: SparkSession, categories) -> DataFrame:
+    """Categories as a rule file, written once per application, that is read back."""
+    key = (spark.sparkContext.applicationId, categories)
+    if key not in _rule_files:
+        rules = ru.rules_table(spark, categories)
+        _rule_files[key] = _written(spark, "rules", lambda p: rules.coalesce(1).write.json(p))
+    return ru.read_rules(spark, _rule_files[key])
+
+
+def page_rules(spark: SparkSession, folder: str) -> DataFrame:
+    """A rule file with two keywords for each page beside the usual ones."""
+    address = F.regexp_replace("url", "^[a-z]+://", "")
+    kept = F.pmod("page_id", F.lit(5)) == 0
+
+    def rule(place, keyword):
+        priority, name, color = place
+        return F.struct(F.lit(priority).alias("priority"), F.lit(name).alias("category"), keyword.alias("keyword"), F.lit(color).alias("color"))
+
+    by_address = F.when(kept, rule(SAVED, address)).otherwise(rule(LATER, address))
+    by_click = rule(CLICKED, F.concat(F.lit("Click "), F.col("url")))
+    made = _table(spark, folder, "pages").select(F.inline(F.array(by_address, by_click)))
+    base = ru.with_category(ru.with_keywords(DATA_CATEGORIES, "learning", EXTRA_KEYWORDS), UNUSED_CATEGORY)
+    rules = ru.add_rules(ru.rules_table(spark, base), made)
+    return ru.read_rules(spark, _written(spark, "rules", lambda p: rules.write.json(p)))
+
+
 _EXAMPLE = ("process_name", "window_title", "label", "text")
 _SESSION_KEY = ("device_id", "session_seq", "window_title", "start_time", "end_time", "duration_seconds")
 
@@ -315,7 +347,7 @@ def lookup_session(spark, folder):
 @query
 def join_rules_first_match(spark, folder):
     texts = tb.event_samples(spark, folder).select("app", "title")
-    return ru.classify_by_table(texts, ru.rules_table(spark, DATA_CATEGORIES))
+    return ru.classify_by_table(texts, written_rules(spark, DATA_CATEGORIES))
 
 
 @query
@@ -401,7 +433,9 @@ def rpt_hour_histogram(spark, folder):
 
 @query
 def rpt_compare_days(spark, folder):
-    return ca.compare_days(spark, *tb.event_usage(spark, folder), DAY_A, DAY_B, DATA_CATEGORIES)
+    return ca.compare_days(
+        spark, *tb.event_usage(spark, folder), DAY_A, DAY_B, written_rules(spark, DATA_CATEGORIES)
+    )
 
 
 # ---- sessionization -------------------------------------------------------
@@ -465,9 +499,8 @@ def cls_fallback(spark, folder):
 
 @query
 def cls_range_stats(spark, folder):
-    return ca.range_stats(
-        spark, *tb.event_usage(spark, folder), START, END, categories=DATA_CATEGORIES
-    )
+    rules = written_rules(spark, DATA_CATEGORIES)
+    return ca.range_stats(spark, *tb.event_usage(spark, folder), START, END, categories=rules)
 
 
 @query
@@ -503,10 +536,8 @@ def cls_sorted_nonzero(spark, folder):
 
 @query
 def cls_custom_rules(spark, folder):
-    categories = ru.with_category(
-        ru.with_keywords(DATA_CATEGORIES, "learning", EXTRA_KEYWORDS), UNUSED_CATEGORY
-    )
-    return ca.range_stats(spark, *tb.event_usage(spark, folder), START, END, categories=categories)
+    rules = page_rules(spark, folder)
+    return ca.range_stats(spark, *tb.event_usage(spark, folder), START, END, categories=rules)
 
 
 # ---- training data --------------------------------------------------------

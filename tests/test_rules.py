@@ -1,12 +1,14 @@
 import datetime as dt
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from dwell.operators import rules as ru
 from dwell.plans import categories as ca
 from test_reports import make
 
+# Application, title and category.
 CASES = [
     ("chrome", "YouTube - 音乐播放", "entertainment"), ("WeChat", "微信聊天窗口", "social"),
     ("explorer", "我的文件夹", "system"), ("Code", "Python项目 - Visual Studio Code", "coding"),
@@ -60,6 +62,65 @@ def test_custom_rules(spark, tmp_path):
     assert {(r.title, r.category) for r in table.collect()} == {("rust book", "first"), ("Taobao", "shopping")}
 
 
+def _many_rules(spark, extra=()):
+    """More keywords than are read into expressions; those of the cases among them."""
+    rows = [(i, c.name, k, c.color) for i, c in enumerate(ru.DEFAULT_CATEGORIES) for k in c.keywords]
+    rows += [(7, "filler", f"no such keyword {i}", "#000000") for i in range(400)]
+    return spark.createDataFrame([*rows, *extra], ru.RULES)
+
+
+def test_large_rule_tables_in_the_reports(spark, tmp_path):
+    """Rules of any size as a table operand give what the same rules give as categories."""
+    rows = [(app, title, AT + dt.timedelta(days=i % 5), 60 * (i + 1)) for i, (app, title, _) in enumerate(CASES) if title]
+    sessions, apps = make(spark, rows * 3)
+    _many_rules(spark).write.json(str(tmp_path / "rules"))
+    rules = ru.read_rules(spark, str(tmp_path / "rules"))
+    assert ru.few_categories(rules) is None
+    categories = (*ru.DEFAULT_CATEGORIES, ru.Category("filler", ("no such keyword",), "#000000"))
+
+    def both(report):
+        plain, table = (report(c).collect() for c in (categories, rules))
+        assert plain == table and plain
+        return plain
+
+    both(lambda c: ca.range_stats(spark, sessions, apps, DAY, "2026-1-30", categories=c))
+    assert len(both(lambda c: ca.top_in_category(sessions, apps, DAY, "2026-1-30", "social", 10, categories=c))) > 0
+    both(lambda c: ca.compare_days(spark, sessions, apps, DAY, "2026-1-27", c))
+    model = lambda df: df.withColumn("model_label", F.lit("learning"))
+    with_model = both(lambda c: ca.compare_days(spark, sessions, apps, DAY, "2026-1-27", c, model))
+    assert {r.category: r.hours_a + r.hours_b for r in with_model}["other"] == 0
+
+
+def test_what_is_exploded(spark):
+    """Only ids and the runs that keywords are filed under; a tenth of all runs at most."""
+    texts = spark.createDataFrame([(a, t) for a, t, _ in CASES] + [("app", f"an ordinary title {i}") for i in range(300)], "app string, title string")
+    keyed = texts.select(ru._text_id(F.col("app"), F.col("title")).alias("id"), ru.folded_text(F.col("app"), F.col("title")).alias("text"))
+    filed = ru.file_keywords(keyed, _many_rules(spark))
+    runs = ru.text_runs(keyed, filed)
+    assert runs.columns == ["id", "run"]
+    every = keyed.select(F.explode(ru._runs_of(F.col("text"), [1, 2, 3]))).count()
+    assert runs.count() < every / 100 and "title" not in {r.keyword for r in filed.collect()}
+    assert not filed.filter("keyword like 'no such%'").count()  # some of their runs occur nowhere
+
+
+def test_more_runs_than_are_held_in_memory(spark, monkeypatch):
+    df = spark.createDataFrame([(a, t) for a, t, _ in CASES], "app string, title string")
+    want = sorted(map(str, ru.classify_by_table(df, _many_rules(spark)).collect()))
+    monkeypatch.setattr(ru, "MEMORY_RUNS", 5)
+    assert sorted(map(str, ru.classify_by_table(df, _many_rules(spark)).collect())) == want
+    assert {(a, c) for a, _, c in CASES} == {(r.app, r.category) for r in ru.classify_by_table(df, _many_rules(spark)).collect()}
+
+
+def test_empty_keywords_are_refused(spark):
+    df = spark.createDataFrame([("a", "b")], "app string, title string")
+    with pytest.raises(ValueError):
+        ru.rule_label(F.col("app"), F.col("title"), (ru.Category("c", ("",), "#0"),))
+    with pytest.raises(Exception, match="empty keyword"):
+        ru.classify_by_table(df, _many_rules(spark, [(0, "c", "", "#0")])).collect()
+    none = ru.rules_table(spark, ru.DEFAULT_CATEGORIES).filter("false")
+    assert [r.category for r in ru.classify_by_table(df, none).collect()] == ["other"]
+
+
 DAY = "2026-1-26"
 AT = dt.datetime(2026, 1, 26, 9)
 
