@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -89,6 +90,10 @@ def with_counts(df: DataFrame, grams: str, out: str = "counts") -> DataFrame:
     )
 
 
+# The most terms of a vocabulary.
+MAX_TERMS = 1000
+
+
 # ---- TF-IDF ---------------------------------------------------------------
 
 def vocabulary(
@@ -114,20 +119,23 @@ def vocabulary(
     )
 
 
-def tfidf(
-    docs: DataFrame, key: str, text: str, min_df: int = 2, max_df_tenths: int = 8, max_terms: int = 1000
-) -> DataFrame:
-    """Sparse TF-IDF rows (key, term, tf, weight) with unit length per document.
+def term_weights(
+    docs: DataFrame, text: str, min_df: int = 2, max_df_tenths: int = 8, max_terms: int = 1000
+) -> dict[str, float]:
+    """Inverse document frequency of the most frequent terms, ``max_terms`` at most."""
+    grams = with_one_two_grams(docs.select(text), text)
+    idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
+    vocab = vocabulary(with_counts(grams, "grams").select("counts"), min_df, max_df_tenths, max_terms)
+    return {r["term"]: r["idf"] for r in vocab.select("term", idf.alias("idf")).collect()}
 
-    The first pass counts terms and hands the vocabulary, at most ``max_terms`` rows, to
-    the driver.  The second works inside each row: other grams are dropped before
-    anything is sorted or counted, and the length is a sum over the row's own terms, so
-    nothing is shuffled.
+
+def weigh_terms(docs: DataFrame, keep: Sequence[str], text: str, weight_of: dict[str, float]) -> DataFrame:
+    """Sparse rows (``keep``, term, tf, weight) with unit length per document.
+
+    Works inside each row: other grams are dropped before anything is sorted or counted,
+    and the length is a sum over the row's own terms, so nothing is shuffled.
     """
-    grams = with_one_two_grams(docs.select(key, text), text)
-    idf = F.log((F.lit(1.0) + F.col("n_docs")) / (F.lit(1.0) + F.col("df"))) + 1.0
-    vocab = vocabulary(with_counts(grams, "grams").select(key, "counts"), min_df, max_df_tenths, max_terms)
-    weight_of = {r["term"]: r["idf"] for r in vocab.select("term", idf.alias("idf")).collect()}
+    grams = with_one_two_grams(docs.select(*keep, text), text)
     table = F.from_json(F.lit(json.dumps(weight_of)), "map<string,double>")
     known = grams.withColumn("grams", F.filter("grams", lambda g: g.isin(list(weight_of))))
     weighted = with_counts(known, "grams").withColumn(
@@ -139,11 +147,22 @@ def tfidf(
     norm = F.sqrt(F.aggregate("_raw", F.lit(0.0), lambda total, c: total + c["raw"] * c["raw"]))
     return (
         weighted.withColumn("_norm", norm)
-        .select(key, "_norm", F.explode_outer("_raw").alias("_c")).filter(F.col("_c").isNotNull())
-        .select(key, "_c.term", "_c.tf", (F.col("_c.raw") / F.col("_norm")).alias("weight"))
+        .select(*keep, "_norm", F.explode_outer("_raw").alias("_c")).filter(F.col("_c").isNotNull())
+        .select(*keep, "_c.term", "_c.tf", (F.col("_c.raw") / F.col("_norm")).alias("weight"))
     )
 
 
+def tfidf(
+    docs: DataFrame, key: str, text: str, min_df: int = 2, max_df_tenths: int = 8, max_terms: int = 1000
+) -> DataFrame:
+    """Sparse TF-IDF rows (key, term, tf, weight) with unit length per document.
+
+    The first pass counts terms and hands the vocabulary, at most ``max_terms`` rows, to
+    the driver; the second works inside each row.
+    """
+    return weigh_terms(docs, [key], text, term_weights(docs, text, min_df, max_df_tenths, max_terms))
+
+
 # ---- subwords -------------------------------------------------------------
 
 def char_ngrams(marked: Column, n: int) -> Column:

@@ -41,13 +41,22 @@ def _kept(df: DataFrame):
         df.unpersist()
 
 
-_ROWS_PER_TASK = 20_000
+# Non-zero features a task holds, and the most tasks of a pass.
+_FEATURES_PER_TASK = 2_000_000
 _MOST_TASKS = 50_000
 
 
-def _balanced(vectors: DataFrame, rows: int) -> DataFrame:
-    """Even partitions for the many passes over the vectors, few where there are few rows."""
-    return vectors.repartition(max(1, min(_MOST_TASKS, rows // _ROWS_PER_TASK)))
+def _balanced(vectors: DataFrame, features: int) -> DataFrame:
+    """Even partitions for the many passes over the vectors: by their non-zero features,
+    and one for every core at least."""
+    cores = vectors.sparkSession.sparkContext.defaultParallelism
+    return vectors.repartition(max(cores, min(_MOST_TASKS, features // _FEATURES_PER_TASK)))
+
+
+def _counted(df: DataFrame, grams: str = "grams") -> tuple[int, int]:
+    """Rows, and features of all rows."""
+    row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(grams).cast("long")).alias("features")).collect()[0]
+    return row["n"], row["features"] or 0
 
 
 # ---- TF-IDF + logistic regression -----------------------------------------
@@ -84,12 +93,12 @@ def fit_tfidf_logreg(
     with _kept(prepared.select("label", "weight", "grams")) as train:
         features = fit_tfidf_features(train, max_terms)
         indexer = _label_indexer().fit(train)
-        n = max(1, train.count())
+        n, size = _counted(train)
         vectors = indexer.transform(features.transform(train))
-        with _kept(_balanced(vectors.select("features", "label_index", "weight"), n)) as vectors:
+        with _kept(_balanced(vectors.select("features", "label_index", "weight"), size)) as vectors:
             regression = LogisticRegression(
                 featuresCol="features", labelCol="label_index", weightCol="weight",
-                family="multinomial", maxIter=max_iter, tol=1e-4, regParam=1.0 / n,
+                family="multinomial", maxIter=max_iter, tol=1e-4, regParam=1.0 / max(1, n),
                 standardization=False,
             ).fit(vectors)
     return PipelineModel(stages=[*features.stages, indexer, regression])
@@ -107,12 +116,13 @@ def fit_subword_softmax(
     """Linear softmax on hashed words, word n-grams and character n-grams."""
     hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets)
     unit = Normalizer(inputCol="hashed", outputCol="features", p=2.0)
-    hashed = unit.transform(hashing.transform(subword_input(examples)))
-    with _kept(_balanced(hashed.select("label", "features"), examples.count())) as train:
+    prepared = subword_input(examples)
+    hashed = unit.transform(hashing.transform(prepared))
+    with _kept(_balanced(hashed.select("label", "features"), _counted(prepared)[1])) as train:
         indexer = _label_indexer().fit(train)
         regression = LogisticRegression(
             featuresCol="features", labelCol="label_index", family="multinomial",
-            maxIter=max_iter, regParam=reg, standardization=False,
+            maxIter=max_iter, tol=1e-5, regParam=reg, standardization=False,
         ).fit(indexer.transform(train))
     return PipelineModel(stages=[hashing, unit, indexer, regression])
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from dwell.functions.text import strip
 from dwell.functions.units import percent
-from dwell.operators.rules import DEFAULT_CATEGORIES, OTHER
+from dwell.operators.rules import DEFAULT_CATEGORIES, OTHER, literal_rows
 
 DEFAULT_LABELS = (*(c.name for c in DEFAULT_CATEGORIES), OTHER)
 
@@ -31,16 +31,17 @@ def loose_label(answer: Column, labels: Sequence[str] = DEFAULT_LABELS) -> Colum
 def dedup_keep_first(
     examples: DataFrame, order: str, keys: Sequence[str] = ("process_name", "window_title", "label")
 ) -> DataFrame:
-    """One example per key, the one with the smallest ``order``.
+    """One example per key, the one with the smallest ``order``, which is a unique number.
 
-    An aggregate rather than a ranking: copies are combined before the shuffle, so a key
-    with very many copies costs one row per task.
+    The smallest number of each key is a hash aggregate of a number: copies are combined
+    before the shuffle, so a key with very many copies costs one row per task.  Examples
+    then meet those numbers on ``order``, which spreads them evenly whatever their keys.
+    Copies of a whole row count once.
     """
-    rest = [c for c in examples.columns if c not in keys]
-    first = F.min_by(F.struct(*rest), F.col(order)).alias("_first")
-    return examples.groupBy(*keys).agg(first).select(
-        *[c if c in keys else F.col(f"_first.{c}").alias(c) for c in examples.columns]
-    )
+    first = examples.groupBy(*keys).agg(F.min(order).alias("_first"))
+    same = [F.col(f"e.{k}").eqNullSafe(F.col(f"f.{k}")) for k in keys]
+    met = examples.alias("e").join(first.alias("f"), [F.col(f"e.{order}") == F.col("f._first"), *same], "left_semi")
+    return met.distinct()
 
 
 def label_distribution(examples: DataFrame, labels: Sequence[str] | None = None) -> DataFrame:
@@ -52,7 +53,7 @@ def label_distribution(examples: DataFrame, labels: Sequence[str] | None = None)
     counts = examples.groupBy(label.alias("label")).agg(F.count(F.lit(1)).alias("count"))
     if labels is not None:
         spark = examples.sparkSession
-        every = spark.createDataFrame([(l,) for l in dict.fromkeys((*labels, OTHER))], "label string")
+        every = literal_rows(spark, [(l,) for l in dict.fromkeys((*labels, OTHER))], "label string")
         counts = every.join(counts, "label", "left").fillna({"count": 0})
     # One row per label.
     total = F.sum("count").over(Window.partitionBy())

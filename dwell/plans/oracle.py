@@ -55,12 +55,6 @@ LABELLED = """labelled AS (
          d.source || ' | ' || d.text AS text, d.n_chars
   FROM documents d JOIN labels l ON d.doc_id = l.doc_id)"""
 
-PREDICTED = f"""{LABELLED},
-predictions AS (
-  SELECT doc_id, label,
-         CASE WHEN n_chars < 400 THEN 'other' WHEN n_chars < 900 THEN 'social' ELSE 'learning' END AS predicted
-  FROM labelled)"""
-
 KEY = "device_id, session_seq, window_title, start_time, end_time, duration_seconds"
 AS_OF = "DATE '2024-01-15'"
 IN_RANGE = "start_date BETWEEN DATE '2024-01-08' AND DATE '2024-01-14'"
@@ -292,6 +286,37 @@ DAY_HOURS = (
     " * 100 + 1800) // 3600"
 )
 
+# Mean TF-IDF vectors of the labels on one part of the examples, applied to the other.
+PREDICTED = f"""{LABELLED},
+split AS (
+  SELECT *, 5 * row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id)
+              <= count(*) OVER (PARTITION BY label) AS is_test
+  FROM labelled),
+held_terms AS (SELECT doc_id, label, is_test, {TERMS} AS t FROM split),
+grams AS (
+  SELECT doc_id, label, is_test,
+         unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM held_terms),
+tf AS (SELECT doc_id, label, is_test, term, count(*) AS tf FROM grams GROUP BY ALL),
+n AS (SELECT count(*) AS n FROM split WHERE NOT is_test),
+vocab AS (
+  SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE NOT is_test GROUP BY term
+  HAVING count(*) >= 2 AND count(*) * 10 <= (SELECT n FROM n) * 8 ORDER BY cf DESC, term LIMIT 1000),
+raw AS (
+  SELECT doc_id, label, is_test, term,
+         tf * (ln((1.0::DOUBLE + (SELECT n FROM n)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w
+  FROM tf JOIN vocab USING (term)),
+unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM raw),
+sizes AS (SELECT label, count(*) AS n FROM split WHERE NOT is_test GROUP BY label),
+means AS (
+  SELECT label, term, sum(u) / any_value(n) AS m FROM unit JOIN sizes USING (label) WHERE NOT is_test GROUP BY label, term),
+scores AS (
+  SELECT unit.doc_id, means.label, round(sum(u * m), 9) AS s
+  FROM unit JOIN means ON unit.term = means.term WHERE is_test GROUP BY unit.doc_id, means.label),
+best AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, label) AS place FROM scores),
+predictions AS (
+  SELECT split.doc_id, split.label, coalesce(best.label, (SELECT min(label) FROM sizes)) AS predicted
+  FROM split LEFT JOIN best ON best.doc_id = split.doc_id AND place = 1 WHERE is_test)"""
+
 PAIRS = f"""WITH {PREDICTED},
 classes AS (SELECT label AS class FROM predictions UNION SELECT predicted FROM predictions),
 sums AS (
@@ -341,6 +366,7 @@ SELECT '__label__' || label || ' ' || translate(text, chr(13) || chr(10), '  ')
             f"SELECT '{t}' AS table_name, count(*) AS row_count FROM {t}" for t in tables
         ),
         "sink_sessions": _sessions(f"{KEY}, start_date"),
+        "sink_append": _sessions(f"app AS name, {KEY}, start_date"),
         "sink_report_csv": _stats(IN_RANGE),
         "flt_ignore_titles": f"""WITH {SAMPLES} SELECT device_id, seq, app, title FROM samples
 WHERE NOT contains(title, '/fr/')""",

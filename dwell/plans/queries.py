@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from dwell.functions import dates, text as tx
 from dwell.functions.clock import wall_clock
 from dwell.operators import apps as ap
+from dwell.operators import centroids as ce
 from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
 from dwell.operators import maintenance as mt
@@ -102,12 +103,17 @@ def titled_examples(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+_predicted: dict[tuple[str, str], str] = {}
+
+
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Labelled documents with a prediction that only looks at their length."""
-    guess = (
-        F.when(F.col("n_chars") < 400, "other").when(F.col("n_chars") < 900, "social").otherwise("learning")
-    )
-    return labelled(spark, folder).select("doc_id", "label", guess.alias("predicted"))
+    """Held-out documents with the label a fitted model gives them, stored once per application."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _predicted:
+        train, test = _split(spark, folder)
+        made = ce.predict_labels(ce.fit_centroids(train), test, "doc_id").select("doc_id", "label", "predicted")
+        _predicted[key] = _written(spark, "predictions", made.write.parquet)
+    return spark.read.schema("doc_id long, label string, predicted string").parquet(_predicted[key])
 
 
 _rule_files: dict[tuple, str] = {}
@@ -239,6 +245,17 @@ def sink_sessions(spark, folder):
     return tb.read_sessions(spark, path).select(*_SESSION_KEY, "start_date")
 
 
+@query
+def sink_append(spark, folder):
+    """Samples arrive in stretches of time; each is added to what is stored already."""
+    path, after = fresh_folder(spark, "loads"), None
+    for i, stretch in enumerate(_stretches(tb.event_samples(spark, folder))):
+        load = f"part-{i}"
+        usage = tb.append_usage(spark, stretch, path, load, after, tb.EVENT_MAX_GAP, tb.EVENT_IGNORED, _hot(spark, folder))
+        after = load
+    return ap.with_app(*usage).select("name", *_SESSION_KEY, "start_date")
+
+
 @query
 def sink_report_csv(spark, folder):
     stats = cls_range_stats(spark, folder)

@@ -16,12 +16,13 @@ _owned: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
-    found = (
-        spark.conf.get("spark.checkpoint.dir", None)
-        or spark.sparkContext.getCheckpointDir()
-        or spark.conf.get("spark.sql.warehouse.dir", None)
-    )
-    if not found:
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if named:
+        return named.rstrip("/")
+    # The warehouse always has a value, by default a folder of the driver's machine.
+    found = spark.conf.get("spark.sql.warehouse.dir", None) or ""
+    local = spark.sparkContext.master.startswith("local")
+    if not found or (not local and found.startswith(("file:", "/"))):
         raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
     return found.rstrip("/")
 

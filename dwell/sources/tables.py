@@ -5,10 +5,11 @@ from __future__ import annotations
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
-from dwell.operators.apps import app_key, apps_seen
+from dwell.operators.apps import app_key, apps_seen, upsert_apps
 from dwell.operators.sessions import HotDevices, build_sessions, find_hot_devices
-from dwell.schemas import SESSIONS
+from dwell.schemas import APPS, SESSIONS
 from dwell.sources.storage import fresh_folder
 
 TABLES = (
@@ -99,6 +100,78 @@ def store_usage(
     )
 
 
+# ---- loads ----------------------------------------------------------------
+
+# What a load leaves for the next one: each device's last poll, and its running session.
+CARRIED = (
+    "device_id long, ts timestamp_ntz, seq long, app string, title string, "
+    "origin_ts timestamp_ntz, origin_seq long"
+)
+
+
+def append_usage(
+    spark: SparkSession,
+    samples: DataFrame,
+    path: str,
+    load: str,
+    after: str | None,
+    max_gap_seconds: int,
+    ignored: tuple[str, ...] = (),
+    hot: HotDevices | None = None,
+) -> UsageTables:
+    """Add the samples that have come since the load ``after`` (None: the first load).
+
+    Only the new samples are sessionized, with one poll for every session still running.
+    Sessions that end are written under this load by start date; running ones, the state
+    of the devices and the applications are small tables of their own.  Files of earlier
+    loads are neither read nor touched, and a load that runs again replaces itself.  Polls
+    at or before the last one of their device in earlier loads are left out.
+    """
+    before = spark.createDataFrame([], CARRIED) if after is None else _load(spark, path, "state", after, CARRIED)
+    known = before.select("device_id", F.col("ts").alias("_ts"), F.col("seq").alias("_seq"))
+    late = (F.col("ts") < F.col("_ts")) | ((F.col("ts") == F.col("_ts")) & (F.col("seq") <= F.col("_seq")))
+    fresh = samples.join(known, "device_id", "left").filter(~F.coalesce(late, F.lit(False))).select(*samples.columns)
+    timeline = fresh.withColumns({"origin_ts": F.col("ts"), "origin_seq": F.col("seq")}).unionByName(
+        before.filter("origin_seq is not null").withColumn("is_stop", F.lit(False))
+    )
+    folder = f"{path}/built/load={load}"  # read three times below
+    built = build_sessions(timeline, max_gap_seconds, ignored, hot).withColumn("app_id", app_key(F.col("app")))
+    built.write.mode("overwrite").parquet(folder)
+    built = spark.read.schema(built.schema).parquet(folder)
+    write_sessions(built.filter("end_time is not null").drop("app"), f"{path}/sessions/load={load}", "overwrite")
+    running = built.filter("end_time is null")
+    running.drop("app").write.mode("overwrite").parquet(f"{path}/open/load={load}")
+
+    last = samples.select("device_id", "ts", "seq").unionByName(before.select("device_id", "ts", "seq")).groupBy("device_id").agg(
+        F.max(F.struct("ts", "seq")).alias("_last")
+    )
+    starts = running.select(
+        "device_id", "app", F.col("window_title").alias("title"), F.col("start_time").alias("origin_ts"),
+        F.col("session_seq").alias("origin_seq"),
+    )
+    state = last.join(starts, "device_id", "left").select(
+        "device_id", "_last.ts", "_last.seq", "app", "title", "origin_ts", "origin_seq"
+    )
+    state.write.mode("overwrite").parquet(f"{path}/state/load={load}")
+    seen = apps_seen(built)
+    apps = seen if after is None else upsert_apps(_load(spark, path, "apps", after, APPS), seen)
+    apps.write.mode("overwrite").parquet(f"{path}/apps/load={load}")
+    return read_usage(spark, path, load)
+
+
+def _load(spark: SparkSession, path: str, table: str, load: str, schema) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{path}/{table}/load={load}")
+
+
+def read_usage(spark: SparkSession, path: str, load: str) -> UsageTables:
+    """The usage tables after a load; loads are ordered by name."""
+    with_load = StructType([*SESSIONS.fields, StructField("load", StringType())])
+    closed = spark.read.schema(with_load).parquet(f"{path}/sessions").filter(F.col("load") <= load)
+    names = SESSIONS.fieldNames()
+    sessions = closed.select(*names).unionByName(_load(spark, path, "open", load, SESSIONS).select(*names))
+    return UsageTables(sessions, _load(spark, path, "apps", load, APPS))
+
+
 _stored: dict[tuple[str, str], str] = {}
 _measured: dict[tuple[str, str], HotDevices] = {}
 

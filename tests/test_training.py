@@ -3,10 +3,12 @@ import hashlib
 import math
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from dwell.operators import centroids as ce
 from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
 from dwell.operators import models as md
@@ -47,6 +49,45 @@ def test_labels(spark):
     assert [r.l for r in out] == ["coding", "coding", "learning", "other", None, None]
 
 
+def test_dedup_is_a_hash_aggregate(spark):
+    schema = "process_name string, window_title string, label string, text string, seq long"
+    rows = [("a", None if i % 3 else "t", "l", f"x{i}", i) for i in range(50)] + [("a", "t", "l", "x0", 0)]
+    kept = tr.dedup_keep_first(spark.createDataFrame(rows, schema), "seq")
+    assert "SortAggregate" not in kept._jdf.queryExecution().toString()
+    assert {r.seq for r in kept.collect()} == {0, 1} and kept.count() == 2
+
+
+def test_centroids_equal_plain_sums(spark):
+    """Labels by mean TF-IDF vectors, worked out by hand over all terms."""
+    rng = random.Random(2)
+    words = {"a": "sun sand sea boat wave".split(), "b": "code test loop type sea".split()}
+    rows = [(i, l, " ".join(rng.choices(words[l], k=8))) for i, l in enumerate("ab" * 30)]
+    train, test = rows[:40], rows[40:] + [(99, "a", "nothing known"), (100, "b", "")]
+    grams = lambda text: (lambda t: t + [f"{x} {y}" for x, y in zip(t, t[1:])])(text.split())
+    df, cf = Counter(), Counter()
+    for _, _, text in train:
+        df.update(set(grams(text)))
+        cf.update(grams(text))
+    known = [t for t in sorted(cf, key=lambda t: (-cf[t], t)) if df[t] >= 2 and df[t] * 10 <= len(train) * 8]
+    idf = {t: math.log((1 + len(train)) / (1 + df[t])) + 1 for t in known}
+
+    def vector(text):
+        raw = {t: n * idf[t] for t, n in Counter(grams(text)).items() if t in idf}
+        norm = math.sqrt(sum(w * w for w in raw.values())) or 1.0
+        return {t: w / norm for t, w in raw.items()}
+
+    means = {l: Counter() for l in words}
+    for _, l, text in train:
+        for t, w in vector(text).items():
+            means[l][t] += w / sum(x[1] == l for x in train)
+    want = {i: max(sorted(means), key=lambda l: round(sum(w * means[l][t] for t, w in vector(text).items()), 9)) for i, _, text in test}
+    frame = lambda r: spark.createDataFrame(r, "doc_id long, label string, text string")
+    got = ce.predict_labels(ce.fit_centroids(frame(train)), frame(test), "doc_id")
+    assert {r.doc_id: r.predicted for r in got.collect()} == want
+    assert sum(want[i] == l for i, l, _ in rows[40:]) >= 18
+    assert ce.predict_labels(ce.fit_centroids(frame([])), frame(test[:2]), "doc_id").count() == 2
+
+
 def test_dedup_keeps_the_first(spark):
     rows = [(3, "a", "t", "x", "3"), (1, "a", "t", "x", "1"), (2, "a", "t", "y", "2"), (0, "b", "t", "x", None)]
     df = spark.createDataFrame(rows, "seq long, process_name string, window_title string, label string, text string")
