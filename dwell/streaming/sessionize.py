@@ -10,7 +10,8 @@ adding up signed durations gives totals that correct themselves.
   device with very many polls is spread over its minutes in that step, and its state is
   met by one row per minute and window change.
 * The state of a device is its last poll and the running session.  Only devices with new
-  polls, or whose timeout is due, are read and written in a micro-batch.
+  polls, or whose timeout is due, are read and written in a micro-batch.  Which state store
+  holds it is the session's setting.
 * With ``idle_close`` each running session has an event-time timeout at its last poll plus
   the gap limit.  When the watermark (the newest poll of any device less
   ``lateness_seconds``, to the millisecond) passes it, the session is announced as closed
@@ -42,8 +43,6 @@ from dwell.operators.sessions import DEFAULT_MAX_GAP, SESSION_COLUMNS, with_vali
 # Width of the cells in which polls are cut down to runs, in microseconds.
 CELL = 60_000_000
 
-STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-
 RUNS = (
     "device_id long, first_us long, first_seq long, last_us long, last_seq long, prev_us long, "
     "kind int, app string, title string, polls long"
@@ -328,9 +327,6 @@ class SessionStream:
         )
 
     def start(self, samples: DataFrame, **trigger) -> StreamingQuery:
-        self.spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
-        # A micro-batch uploads what it changed, not a copy of the store.
-        self.spark.conf.set("spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "true")
         return (
             self.changes(samples).writeStream.format("parquet").partitionBy("is_final")
             .option("path", f"{self.root}/changes").option("checkpointLocation", f"{self.root}/checkpoint")
