@@ -6,10 +6,12 @@ fit is one aggregate and the same in every run, so its results can be checked wi
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, functions as F
 
+from dwell.functions.text import app_title
 from dwell.operators.features import MAX_TERMS, term_weights, weigh_terms
 
 # Scores that agree to so many places are equal; the smaller label is taken.
@@ -43,4 +45,21 @@ def predict_labels(model: Centroids, docs: DataFrame, key: str, text: str = "tex
     best = scores.groupBy(key).agg(
         F.array_min(F.collect_list(F.struct((-F.col("_score")).alias("s"), "_label")))["_label"].alias("predicted")
     )
-    return docs.join(best, key, "left").fillna({"predicted": model.fallback or ""})
+    found = docs.join(best, key, "left")
+    return found.fillna({"predicted": model.fallback}) if model.fallback is not None else found
+
+
+def as_fallback(model: Centroids) -> Callable[[DataFrame], DataFrame]:
+    """For reports: adds ``model_label`` to rows of (name, window_title), NULL for rows
+    without a known term."""
+    plain = replace(model, fallback=None)
+
+    def label(rows: DataFrame) -> DataFrame:
+        text = app_title(F.col("name"), F.col("window_title"))
+        # One row per title, as in usage tables: the text is the key.
+        titles = rows.select(text.alias("text")).distinct()
+        found = predict_labels(plain, titles.withColumn("_key", F.col("text")), "_key")
+        named = found.select("_key", F.col("predicted").alias("model_label"))
+        return rows.withColumn("_key", text).join(named, "_key", "left").drop("_key")
+
+    return label

@@ -286,36 +286,59 @@ DAY_HOURS = (
     " * 100 + 1800) // 3600"
 )
 
-# Mean TF-IDF vectors of the labels on one part of the examples, applied to the other.
-PREDICTED = f"""{LABELLED},
-split AS (
-  SELECT *, 5 * row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id)
-              <= count(*) OVER (PARTITION BY label) AS is_test
-  FROM labelled),
-held_terms AS (SELECT doc_id, label, is_test, {TERMS} AS t FROM split),
+# Mean TF-IDF vectors of the labels on one part of split(id, label, text, is_test), and the
+# label that is nearest to each row of the other part.
+NEAREST = f"""held_terms AS (SELECT id, label, is_test, {TERMS} AS t FROM split),
 grams AS (
-  SELECT doc_id, label, is_test,
+  SELECT id, label, is_test,
          unnest(t || list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term FROM held_terms),
-tf AS (SELECT doc_id, label, is_test, term, count(*) AS tf FROM grams GROUP BY ALL),
+tf AS (SELECT id, label, is_test, term, count(*) AS tf FROM grams GROUP BY ALL),
 n AS (SELECT count(*) AS n FROM split WHERE NOT is_test),
 vocab AS (
   SELECT term, count(*) AS df, sum(tf) AS cf FROM tf WHERE NOT is_test GROUP BY term
   HAVING count(*) >= 2 AND count(*) * 10 <= (SELECT n FROM n) * 8 ORDER BY cf DESC, term LIMIT 1000),
 raw AS (
-  SELECT doc_id, label, is_test, term,
+  SELECT id, label, is_test, term,
          tf * (ln((1.0::DOUBLE + (SELECT n FROM n)) / (1.0::DOUBLE + df)) + 1.0::DOUBLE) AS w
   FROM tf JOIN vocab USING (term)),
-unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS u FROM raw),
+unit AS (SELECT *, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM raw),
 sizes AS (SELECT label, count(*) AS n FROM split WHERE NOT is_test GROUP BY label),
 means AS (
   SELECT label, term, sum(u) / any_value(n) AS m FROM unit JOIN sizes USING (label) WHERE NOT is_test GROUP BY label, term),
 scores AS (
-  SELECT unit.doc_id, means.label, round(sum(u * m), 9) AS s
-  FROM unit JOIN means ON unit.term = means.term WHERE is_test GROUP BY unit.doc_id, means.label),
-best AS (SELECT doc_id, label, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, label) AS place FROM scores),
+  SELECT unit.id, means.label, round(sum(u * m), 9) AS s
+  FROM unit JOIN means ON unit.term = means.term WHERE is_test GROUP BY unit.id, means.label),
+best AS (
+  SELECT * FROM (SELECT id, label, row_number() OVER (PARTITION BY id ORDER BY s DESC, label) AS place FROM scores)
+  WHERE place = 1)"""
+
+PREDICTED = f"""{LABELLED},
+split AS (
+  SELECT doc_id AS id, label, text,
+         5 * row_number() OVER (PARTITION BY label ORDER BY md5('42:' || doc_id), doc_id)
+           <= count(*) OVER (PARTITION BY label) AS is_test
+  FROM labelled),
+{NEAREST},
 predictions AS (
-  SELECT split.doc_id, split.label, coalesce(best.label, (SELECT min(label) FROM sizes)) AS predicted
-  FROM split LEFT JOIN best ON best.doc_id = split.doc_id AND place = 1 WHERE is_test)"""
+  SELECT split.id AS doc_id, split.label, coalesce(best.label, (SELECT min(label) FROM sizes)) AS predicted
+  FROM split LEFT JOIN best ON best.id = split.id WHERE is_test)"""
+
+# Rules first; titles that no rule hits get the nearest label of the titles that one hits.
+FALLBACK = f"""WITH {SESSIONS},
+usage AS (
+  SELECT app, window_title, sum(duration_seconds)::BIGINT AS seconds, count(*) AS session_count,
+         {_category('app', 'window_title')} AS category
+  FROM sessions WHERE {IN_RANGE} GROUP BY app, window_title),
+examples AS (SELECT DISTINCT app, title, {_category('app', 'title')} AS label FROM samples),
+split AS (
+  SELECT 'e' || app || ' ' || title AS id, label, app || ' | ' || title AS text, false AS is_test
+  FROM examples WHERE label <> 'other'
+  UNION ALL
+  SELECT 'u' || app || ' ' || window_title, NULL, app || ' | ' || window_title, true FROM usage WHERE category = 'other'),
+{NEAREST}
+SELECT app AS name, window_title, seconds, session_count,
+       CASE WHEN category = 'other' THEN coalesce(best.label, 'other') ELSE category END AS category
+FROM usage LEFT JOIN best ON best.id = 'u' || app || ' ' || window_title"""
 
 PAIRS = f"""WITH {PREDICTED},
 classes AS (SELECT label AS class FROM predictions UNION SELECT predicted FROM predictions),
@@ -457,6 +480,7 @@ SELECT seq, {_category('app', 'title')} AS category,
        {_category('app', 'title', DEFAULT_RULES)} AS default_category,
        {_word_category('app', 'title')} AS word_category
 FROM samples""",
+        "cls_fallback": FALLBACK,
         "cls_range_stats": _stats(IN_RANGE),
         "cls_day_stats": _stats(f"start_date = {AS_OF}"),
         "cls_week_stats": _stats(f"start_date BETWEEN {AS_OF} AND {AS_OF} + 6"),

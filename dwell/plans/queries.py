@@ -508,10 +508,8 @@ def cls_fallback(spark, folder):
     sessions, apps = tb.event_usage(spark, folder)
     examples = titled_examples(spark, folder).filter(F.col("label") != "other")
     distinct = tr.dedup_keep_first(examples, "example_id")
-    model = md.fit_tfidf_logreg(distinct)
     usage = rp.usage_by_title(rp.between_dates(sessions, START, END), apps)
-    fallback = md.as_fallback(model, md.tfidf_input)
-    return ca.label_titles(usage, DATA_CATEGORIES, fallback)
+    return ca.label_titles(usage, DATA_CATEGORIES, ce.as_fallback(ce.fit_centroids(distinct)))
 
 
 @query

@@ -26,7 +26,7 @@ def con():
 
 def test_every_query_has_sql_but_the_models():
     without = set(registered.all_queries()) - set(oracle.all_sql())
-    assert without == {"cls_fallback", "mdl_tfidf_logreg", "mdl_subword_softmax", "mdl_score_topk", "mdl_save_load"}
+    assert without == {"mdl_tfidf_logreg", "mdl_subword_softmax", "mdl_score_topk", "mdl_save_load"}
     assert not set(SQL) - set(entry.queries())
 
 
