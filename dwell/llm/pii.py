@@ -166,30 +166,43 @@ def _number_signs(text: str, begin: int, end: int) -> list[tuple[int, int, str]]
 _AROUND = (-3, -2, -1, 0, 1, 2, 3)
 
 
-def signs(text: str, spans: Sequence[tuple[int, int]]) -> list[list[str]]:
-    """The features of every token of a stretch."""
+# What a token's features are made of: the shapes around it, the words around it, the gaps
+# on both sides, and the number it is in.
+Context = tuple[tuple[str, ...], tuple[str, ...], str, str, str]
+
+
+def contexts(text: str, spans: Sequence[tuple[int, int]]) -> list[Context]:
+    """One context for every token of a stretch."""
     words = [text[a:b] for a, b in spans]
-    shapes = ["<", "<", "<", *map(_shape, words), ">", ">", ">"]
-    lower = ["", "", "", *(w.lower() if w[0].isalpha() and len(w) <= 9 else "" for w in words), "", "", ""]
+    shapes = ("<", "<", "<", *map(_shape, words), ">", ">", ">")
+    lower = ("", "", *(w.lower() if w[0].isalpha() and len(w) <= 9 else "" for w in words), "", "")
     gaps = ["-", *(_gap(text, a[1], b[0]) for a, b in zip(spans, spans[1:])), "-"]
     numbers = _number_signs(text, spans[0][0], spans[-1][1]) if spans else []
     out, at = [], 0
     for i, (begin, _) in enumerate(spans):
-        j = i + 3
         while at < len(numbers) and numbers[at][1] <= begin:
             at += 1
         number = numbers[at][2] if at < len(numbers) and numbers[at][0] <= begin else "-"
-        found = [f"{o}{shapes[j + o]}" for o in _AROUND]
-        found += [f"w{o}{lower[j + o]}" for o in (-2, -1, 0, 1, 2) if lower[j + o]]
-        found += [
-            f"n{number}", f"n{number}{shapes[j]}", f"g{gaps[i]}{gaps[i + 1]}",
-            f"p{shapes[j - 1]}{gaps[i]}{shapes[j]}", f"q{shapes[j]}{gaps[i + 1]}{shapes[j + 1]}",
-            f"t{shapes[j - 2]}|{shapes[j - 1]}|{shapes[j]}", f"u{shapes[j]}|{shapes[j + 1]}|{shapes[j + 2]}",
-        ]
-        out.append(found)
+        out.append((shapes[i:i + 7], lower[i:i + 5], gaps[i], gaps[i + 1], number))
     return out
 
 
+def features_of(context: Context) -> list[str]:
+    shapes, lower, before, after, number = context
+    two_left, left, own, right, two_right = shapes[1:6]
+    found = [f"{o}{shape}" for o, shape in zip(_AROUND, shapes)]
+    found += [f"w{o}{word}" for o, word in zip((-2, -1, 0, 1, 2), lower) if word]
+    return found + [
+        f"n{number}", f"n{number}{own}", f"g{before}{after}", f"p{left}{before}{own}", f"q{own}{after}{right}",
+        f"t{two_left}|{left}|{own}", f"u{own}|{right}|{two_right}",
+    ]
+
+
+def signs(text: str, spans: Sequence[tuple[int, int]]) -> list[list[str]]:
+    """The features of every token of a stretch."""
+    return list(map(features_of, contexts(text, spans)))
+
+
 # ---- the field -----------------------------------------------------------------------
 
 @dataclass
@@ -207,12 +220,17 @@ START = np.array([not l.startswith("I") for l in LABELS])
 _NEVER = -1e4
 
 
-def _emissions(model: Field, rows: Sequence[Sequence[str]]) -> np.ndarray:
-    unknown = len(model.emit) - 1
+def _emissions(model: Field, found: Sequence[Context]) -> np.ndarray:
+    """Scores by label for each token; tokens in equal contexts share the work."""
+    if not found:
+        return np.zeros((0, N))
+    place: dict[Context, int] = {}
+    which = np.fromiter((place.setdefault(c, len(place)) for c in found), np.int64, len(found))
+    rows, unknown = list(map(features_of, place)), len(model.emit) - 1
     sizes = np.array([len(r) for r in rows])
     ids = np.fromiter((model.index.get(f, unknown) for r in rows for f in r), np.int64, int(sizes.sum()))
     begins = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.add.reduceat(model.emit[ids], begins, axis=0) if len(rows) else np.zeros((0, N))
+    return np.add.reduceat(model.emit[ids], begins, axis=0)[which]
 
 
 def viterbi(emit: np.ndarray, pair: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -338,7 +356,7 @@ def decode(model: Field, texts: Sequence[str]) -> list[list[Span]]:
         part = work[at:to]
         lengths = np.array([len(places) for _, places in part])
         emit = np.zeros((len(part), longest, N))
-        scores = _emissions(model, [f for i, places in part for f in signs(texts[i], places)])
+        scores = _emissions(model, [c for i, places in part for c in contexts(texts[i], places)])
         emit[np.arange(longest) < lengths[:, None]] = scores
         labels = viterbi(emit, model.pair, lengths)
         for (i, places), row in zip(part, labels):
