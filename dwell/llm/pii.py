@@ -9,7 +9,8 @@ small labelled table and decoded by Viterbi for many stretches of text at a time
   stretches are those places with ``REACH`` characters on both sides in their line, merged
   where they meet, and each stretch is one sequence of the field.
 * A found span counts if it passes the test of its kind (Luhn, parts up to 255, 9 to 15
-  digits, an at and a dot) and overlaps no span of a pattern.
+  digits, an at and a dot), whole or without a word at an end, and overlaps no span of a
+  pattern.
 
 Results in odd cases: a null text is empty and has no spans; texts of any length are
 handled whole, in linear time; repeated rows and null ids stay rows of their own; an empty
@@ -401,12 +402,26 @@ def find_spans(model: Field, texts: Sequence[str]) -> list[tuple[list[Span], lis
     for text, more in zip(texts, decode(model, texts)):
         base = base_spans(text)
         taken = sorted((a, b) for _, a, b in base)
-        added = [s for s in more if plausible(s[0], text[s[1]:s[2]]) and not _meets(taken, s[1], s[2])]
+        tested = (_tested(text, *s) for s in more)
+        added = [s for s in tested if s and not _meets(taken, s[1], s[2])]
         both = sorted(base + added, key=lambda s: (KINDS.index(s[0]), s[1]))
         out.append((base, both))
     return out
 
 
+_EDGES = re.compile(r"(?:[^\W\d_]+\W*?)?(?=[0-9(+])(.*[0-9)])", re.S)
+
+
+def _tested(text: str, kind: str, begin: int, end: int) -> Span | None:
+    """The span if it passes its test, else what is left without a word at an end."""
+    if plausible(kind, text[begin:end]):
+        return kind, begin, end
+    inner = _EDGES.match(text, begin, end) if kind != "email" else None
+    if inner and plausible(kind, inner[1]):
+        return kind, *inner.span(1)
+    return None
+
+
 def _meets(taken: Sequence[tuple[int, int]], begin: int, end: int) -> bool:
     """Whether a span overlaps one of the sorted spans; spans of two kinds can overlap."""
     lo = np.searchsorted([a for a, _ in taken], end) if len(taken) > 64 else len(taken)
