@@ -24,7 +24,10 @@ MAX_SEGMENT = 16
 
 def sign_code(vector: str, bits: int = BITS) -> Column:
     """The signs of a vector as a code in one long: bit i is set where component i is
-    positive.  Missing components are not; a null vector has no code."""
+    positive.  Missing components are not; a null vector has no code.  A vector with more
+    than ``bits`` components, 64 at most, is refused: none is cut."""
+    if not 0 < bits <= BITS:
+        raise ValueError(f"a code has 1 to {BITS} bits")
     terms = [
         F.when(F.get(F.col(f"`{vector}`"), F.lit(i)) > 0, F.lit(_signed(1 << i)).cast("long")).otherwise(F.lit(0).cast("long"))
         for i in range(bits)
@@ -32,7 +35,8 @@ def sign_code(vector: str, bits: int = BITS) -> Column:
     # A balanced tree keeps the expression shallow.
     while len(terms) > 1:
         terms = [a.bitwiseOR(b) for a, b in zip(terms[::2], terms[1::2])] + terms[len(terms) // 2 * 2:]
-    return F.when(F.col(f"`{vector}`").isNotNull(), terms[0])
+    long = F.raise_error(F.lit(f"a vector has more than {bits} components")).cast("long")
+    return F.when(F.size(f"`{vector}`") > bits, long).when(F.col(f"`{vector}`").isNotNull(), terms[0])
 
 
 def _signed(value: int) -> int:

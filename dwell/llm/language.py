@@ -33,8 +33,14 @@ ROUNDS = 2
 SMOOTHING = 0.05
 # Plain words kept by a worker process, with their scores.
 WORDS = 600_000
-# A word is scored in runs of so many characters, so that its probability stays a number.
-RUN = 24
+# Words up to this length are worked out together with others of their length.  Longer ones
+# go position by position, and their probabilities are rescaled on the way.
+SHORT = 24
+# Long words that go together, and piece numbers looked up for them at a time.
+TOGETHER = 256
+LOOKED_UP = 1_000_000
+# Below this a prefix's probability becomes one, and its logarithm is kept beside it.
+TINY = 1e-60
 # Languages a model may hold: it goes to every task, with one number per piece of each.
 MAX_LANGUAGES = 500
 
@@ -57,12 +63,6 @@ def plain(word: str) -> str:
     return word.lower() if word.isalpha() else "".join(filter(str.isalpha, word)).lower()
 
 
-def runs_of(word: str) -> list[str]:
-    """A plain word with the mark before it, in runs of bounded length."""
-    marked = MARK + word
-    return [marked[i:i + RUN] for i in range(0, len(marked), RUN)]
-
-
 class PieceIndex:
     """The piece vocabulary by 64-bit polynomial hashes, looked up for many strings at once."""
 
@@ -149,12 +149,121 @@ class Lattice:
 
 
 def _by_length(words: list[str]) -> dict[int, list[int]]:
+    """Numbers of the short words, by length."""
     groups: dict[int, list[int]] = {}
     for i, word in enumerate(words):
-        groups.setdefault(len(word), []).append(i)
+        if len(word) <= SHORT:
+            groups.setdefault(len(word), []).append(i)
     return groups
 
 
+def _long(words: list[str]) -> list[int]:
+    """Numbers of the other words, the longest first."""
+    return sorted((i for i, word in enumerate(words) if len(word) > SHORT), key=lambda i: -len(words[i]))
+
+
+def pieces_by_end(words: list[str], index: PieceIndex, start: int, stop: int) -> np.ndarray:
+    """Numbers of the pieces that end at some positions of words, by word, end and length
+    less one; -1 where there is none.  Words are filled up with characters of code 0."""
+    reach = index.longest - 1
+    before = min(start, reach)
+    text = "".join(w[start - before:stop].ljust(stop - start + before, "\0") for w in words)
+    points = np.frombuffer(text.encode("utf-32-le"), "<u4").reshape(len(words), -1).astype(np.uint64)
+    out = np.full((len(words), stop - start, index.longest), -1, np.int32)
+    rolling = np.zeros_like(points)
+    for more in range(min(index.longest, points.shape[1])):
+        power = np.uint64(pow(int(index.BASE), more, 1 << 64))
+        rolling[:, more:] += points[:, :points.shape[1] - more] * power
+        first = max(more, before)  # a piece must not begin before the text it is cut from
+        found = index.find(rolling[:, first:].ravel()).reshape(len(words), -1)
+        out[:, first - before:, more] = found
+    alone = out[:, :, 0]
+    alone[alone < 0] = index.size
+    return out
+
+
+def _step(size: int, index: PieceIndex) -> int:
+    return max(1, LOOKED_UP // (size * index.longest))
+
+
+def long_words(words: list[str], index: PieceIndex, table: np.ndarray) -> np.ndarray:
+    """Log-probabilities of words sorted by falling length, per word and language.
+
+    Only the prefixes that a piece can still begin at are held.
+    """
+    lengths = np.array([len(w) for w in words])
+    out = np.empty((len(words), table.shape[1]))
+    scale = np.zeros_like(out)
+    ahead = np.zeros((len(words), index.longest, table.shape[1]))  # the latest prefix first
+    ahead[:, 0] = 1
+    start = 0
+    while start < lengths[0]:
+        live = int((lengths > start).sum())
+        stop = min(int(lengths[0]), start + _step(live, index))
+        pieces = pieces_by_end(words[:live], index, start, stop)
+        for end in range(start, stop):
+            live = int(np.searchsorted(-lengths, -end))  # words longer than ``end``
+            total = np.einsum("wlk,wlk->wk", ahead[:live], table[pieces[:live, end - start]])
+            ahead[:live, 1:] = ahead[:live, :-1].copy()
+            ahead[:live, 0] = total
+            if total.min() < TINY:
+                factor = np.where(total < TINY, total, 1.0)
+                ahead[:live] /= factor[:, None]
+                scale[:live] += np.log(factor)
+            done = np.flatnonzero(lengths[:live] == end + 1)
+            out[done] = np.log(ahead[done, 0]) + scale[done]
+        start = stop
+    return out
+
+
+def long_expected(word: str, index: PieceIndex, chance: np.ndarray) -> np.ndarray:
+    """Expected occurrences of every piece in one long word, by the probabilities of the
+    pieces in its language; the numbers of pieces as in ``pieces_by_end``."""
+    size, reach = len(word), index.longest
+    step = _step(1, index)
+    # Probabilities of prefixes and suffixes, as a number and the logarithm of a factor.
+    front, front_log = np.ones(size + 1), np.zeros(size + 1)
+    back, back_log = np.ones(size + 1 + reach), np.zeros(size + 1 + reach)
+    back[size + 1:] = 0
+    ahead, scale = np.zeros(reach), 0.0
+    ahead[0] = 1
+    for start in range(0, size, step):
+        stop = min(size, start + step)
+        for at, row in enumerate(chance[pieces_by_end([word], index, start, stop)[0]], start + 1):
+            total = ahead @ row
+            ahead[1:] = ahead[:-1].copy()
+            ahead[0] = total
+            if total < TINY:
+                ahead /= total
+                scale += np.log(total)
+            front[at], front_log[at] = ahead[0], scale
+    whole = np.log(front[size]) + front_log[size]
+    expected = np.zeros(len(chance))
+    behind, scale = np.zeros(reach), 0.0
+    behind[0] = 1
+    for start in reversed(range(0, size, step)):
+        stop = min(size, start + step)
+        by_end = pieces_by_end([word], index, start, min(size, stop + reach - 1))[0]
+        rows = np.arange(stop - start)[:, None] + np.arange(reach)
+        inside = rows < len(by_end)
+        pieces = np.where(inside, by_end[np.minimum(rows, len(by_end) - 1), np.arange(reach)], -1)  # by their start
+        likely = chance[pieces]
+        for at in range(stop - 1, start - 1, -1):
+            total = behind @ likely[at - start]
+            behind[1:] = behind[:-1].copy()
+            behind[0] = total
+            if total < TINY:
+                behind /= total
+                scale += np.log(total)
+            back[at], back_log[at] = behind[0], scale
+        ends = np.arange(start, stop)[:, None] + np.arange(1, reach + 1)
+        factor = np.exp(front_log[start:stop, None] + back_log[ends] - whole)
+        share = front[start:stop, None] * likely * back[ends] * factor
+        real = pieces >= 0
+        expected += np.bincount(pieces[real], share[real], len(chance))
+    return expected
+
+
 def _padded(model: LanguageModel) -> np.ndarray:
     """Probabilities with a row for unknown characters and, last, a row of zeros for the
     piece number -1 of pieces that do not exist."""
@@ -168,21 +277,22 @@ class Scorer:
         self.table = _padded(model)
         self.index = index
 
-    def runs(self, runs: list[str]) -> np.ndarray:
-        out = np.empty((len(runs), self.table.shape[1]))
-        for rows in _by_length(runs).values():
+    def marked(self, words: list[str]) -> np.ndarray:
+        out = np.empty((len(words), self.table.shape[1]))
+        for rows in _by_length(words).values():
             for at in range(0, len(rows), 20_000):
                 some = rows[at:at + 20_000]
-                lattice = Lattice([runs[i] for i in some], self.index)
+                lattice = Lattice([words[i] for i in some], self.index)
                 out[some] = np.log(lattice.forward(self.table)[-1])
+        rows = _long(words)
+        for at in range(0, len(rows), TOGETHER):
+            some = rows[at:at + TOGETHER]
+            out[some] = long_words([words[i] for i in some], self.index, self.table)
         return out
 
     def words(self, words: list[str]) -> list[bytes]:
         """The row of each plain word, packed; the empty word has zeros."""
-        runs = [runs_of(w) for w in words if w]
-        flat = self.runs([r for rs in runs for r in rs])
-        sizes = [len(rs) for rs in runs]
-        sums = np.add.reduceat(flat, np.cumsum([0, *sizes[:-1]]), axis=0) if runs else flat
+        sums = self.marked([MARK + w for w in words if w])
         packed = iter([row.tobytes() for row in sums.astype(np.float32)])
         none = np.zeros(self.table.shape[1], np.float32).tobytes()
         return [next(packed) if w else none for w in words]
@@ -202,7 +312,7 @@ def _sample(docs: DataFrame, sizes: dict[str, int], doc_id: str, text: str, lang
 
 
 def _word_counts(sample: DataFrame, text: str, lang: str) -> DataFrame:
-    """Runs of plain words with the number of times each language has them."""
+    """Plain words, marked, with the number of times each language has them."""
 
     def run(batches):
         for batch in batches:
@@ -213,17 +323,16 @@ def _word_counts(sample: DataFrame, text: str, lang: str) -> DataFrame:
                 for name, words in counts.items():
                     found: Counter = Counter()
                     for word, n in words.items():
-                        letters = plain(word)
-                        for r in runs_of(letters) if letters else ():
-                            found[r] += n
+                        if letters := plain(word):
+                            found[MARK + letters] += n
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([name] * len(found)), pa.array(list(found)), pa.array(list(found.values()), pa.int64())],
-                        names=["lang", "run", "n"],
+                        names=["lang", "word", "n"],
                     )
 
     rows = sample.select(F.col(text).cast("string"), F.col(lang).cast("string"))
-    counted = rows.mapInArrow(run, "lang string, run string, n long")
-    return counted.groupBy("lang", "run").agg(F.sum("n").alias("n"))
+    counted = rows.mapInArrow(run, "lang string, word string, n long")
+    return counted.groupBy("lang", "word").agg(F.sum("n").alias("n"))
 
 
 def _expected(counts: DataFrame, path: str, model: LanguageModel) -> DataFrame:
@@ -237,19 +346,21 @@ def _expected(counts: DataFrame, path: str, model: LanguageModel) -> DataFrame:
         total = np.zeros((size + 1, len(languages)))
         number = {name: i for i, name in enumerate(languages)}
         for batch in batches:
-            names, runs, n = (batch.column(i).to_pylist() for i in range(3))
+            names, words, n = (batch.column(i).to_pylist() for i in range(3))
             lang = np.array([number[x] for x in names])
             weight = np.array(n, float)
-            for rows in _by_length(runs).values():
+            for rows in _by_length(words).values():
                 for at in range(0, len(rows), 20_000):
                     some = np.array(rows[at:at + 20_000])
-                    lattice = Lattice([runs[i] for i in some], index)
+                    lattice = Lattice([words[i] for i in some], index)
                     ahead, back = lattice.forward(table), lattice.backward(table)
                     own, line = lang[some], np.arange(len(some))
                     scale = weight[some] / ahead[-1][line, own]
                     for (start, end), piece in lattice.arcs.items():
                         share = ahead[start][line, own] * table[piece, own] * back[end][line, own] * scale
                         np.add.at(total, (piece[piece >= 0], own[piece >= 0]), share[piece >= 0])
+            for i in _long(words):
+                total[:, lang[i]] += weight[i] * long_expected(words[i], index, table[:, lang[i]])[:-1]
         piece, lang = np.nonzero(total)
         yield pa.RecordBatch.from_arrays(
             [pa.array(piece.astype(np.int32)), pa.array(lang.astype(np.int32)), pa.array(total[piece, lang])],
@@ -283,7 +394,7 @@ def fit_languages(docs: DataFrame, pieces_path: str, doc_id: str = "doc_id", tex
         return model
     folder = fresh_folder(spark, "language-words")
     _word_counts(_sample(docs, sizes, doc_id, text, lang, max_docs), text, lang).write.parquet(folder)
-    counts = spark.read.schema("lang string, run string, n long").parquet(folder)
+    counts = spark.read.schema("lang string, word string, n long").parquet(folder)
     for _ in range(rounds):
         total = np.full((shape[0] + 1, shape[1]), SMOOTHING)
         for piece, name, n in _expected(counts, pieces_path, model).collect():

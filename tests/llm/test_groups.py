@@ -147,6 +147,15 @@ def test_search_of_nothing(spark):
     assert got == {(0, 1, 0, 0), (0, 2, 100, 1), (100, 1, 100, 0), (100, 2, 0, 1)}
 
 
+def test_no_component_is_left_out(spark):
+    """A vector longer than the code is refused, and not cut to its first components."""
+    long = spark.createDataFrame([(0, [1.0] * 64 + [float(i) for i in range(6)], 1)], "vec_id long, embedding array<float>, label int")
+    with pytest.raises(Exception, match="more than 64 components"):
+        hamming.search_every(long).count()
+    with pytest.raises(ValueError):
+        hamming.sign_code("embedding", 65)
+
+
 def test_capped_shares():
     assert mixture.capped_shares([100, 100, 100], [1, 2, 3]) == [50.0, 100.0, 150.0]
     shares = mixture.capped_shares([10, 10, 1000], [3, 3, 1])

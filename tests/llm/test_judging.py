@@ -196,6 +196,47 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(rows, [np.log(total(language.MARK + w)) for w in words], rtol=1e-5)
 
 
+@pytest.mark.parametrize("looked_up", [7, 300, 1_000_000])
+def test_long_words_are_not_cut(monkeypatch, looked_up):
+    """Words of any length against sums in logarithms, position by position."""
+    monkeypatch.setattr(language, "LOOKED_UP", looked_up)
+    monkeypatch.setattr(language, "TOGETHER", 5)
+    vocabulary = {"▁": 0, "a": 1, "ab": 2, "b": 3, "▁a": 4, "ba": 5, "abba": 6, "bbbbb": 7}
+    index, rnd = language.PieceIndex(vocabulary), random.Random(4)
+    rng = np.random.default_rng(4)
+    model = language.LanguageModel("k", ["x", "y"], np.zeros(2), rng.random((8, 2)) / 1e4, rng.random(2) / 1e9)
+
+    def total(text):
+        out = [np.zeros(2)]
+        for end in range(1, len(text) + 1):
+            ways = []
+            for start in range(max(0, end - 5), end):
+                piece = text[start:end]
+                if piece in vocabulary:
+                    ways.append(out[start] + np.log(model.pieces[vocabulary[piece]]))
+                elif end == start + 1:
+                    ways.append(out[start] + np.log(model.floor))
+            out.append(np.logaddexp.reduce(ways))
+        return out[-1]
+
+    words = ["".join(rnd.choice("abbé") for _ in range(n)) for n in (1, 22, 23, 24, 25, 46, 46, 90, 400, 3000)]
+    rows = [np.frombuffer(r, np.float32) for r in language.Scorer(model, index).words(words)]
+    assert np.allclose(rows, [total(language.MARK + w) for w in words], rtol=1e-5)
+    # What fitting expects of a word equals the lattice's forward and backward passes.
+    table = language._padded(model)
+    for word in ("▁" + words[5], "▁" + words[1]):
+        lattice = language.Lattice([word], index)
+        ahead, back = lattice.forward(table), lattice.backward(table)
+        want = np.zeros(len(table))
+        for (start, end), piece in lattice.arcs.items():
+            if piece[0] >= 0:
+                want[piece[0]] += (ahead[start] * table[piece] * back[end] / ahead[-1])[0, 1]
+        assert np.allclose(language.long_expected(word, index, table[:, 1]), want)
+    found = language.long_expected("▁" + words[-1], index, table[:, 1])
+    length = np.array([len(p) for p in vocabulary] + [1, 0])
+    assert np.isclose(found @ length, 3001)  # every character lies in one piece
+
+
 def test_index_finds_pieces_and_nothing_else():
     index = language._index(public_tokenizers.path(queries.PIECES))
     pieces = language.read_pieces(public_tokenizers.path(queries.PIECES))
