@@ -36,10 +36,10 @@ class Certificate(NamedTuple):
 def certify(model: PipelineModel, prepared: DataFrame, weight: str | None = None) -> Certificate:
     """Check a fitted pipeline on its training rows (``label``, its input and ``weight``).
 
-    The examples are read once.  Tasks add up one vector per label and side; what reaches
-    the driver has the size of the model.  Labels the model does not know are refused, an
-    empty table gives an objective of 0 for the loss, and no moment rows are lost for
-    labels without examples.
+    One aggregate over the examples, after a look whether there is any.  Tasks add up one
+    vector per label and side; what reaches the driver has the size of the model.  A label
+    the model does not know is an error.  Without examples the sums are 0 and the
+    objective is the penalty alone.
     """
     spark = prepared.sparkSession
     labels = model_labels(model)
