@@ -8,9 +8,10 @@ a bounded number of features, and a linear machine is trained on them.
 A sentence is a bag of windows: its words, and runs of very short words joined together.
 The highest window decides for the sentence and the highest sentence for the text.  Only
 texts are labelled, so the windows that make a text toxic are found in rounds: first the
-words that occur in many toxic and few clean texts and the best word of every toxic text,
-then the highest window of every toxic text that is not yet explained, with the highest
-windows of clean texts against them.
+words that occur in many toxic and few clean texts and the best word of every toxic text
+without one of these, then the highest window of every toxic text that is not yet explained,
+with the highest windows of clean texts against them.  Ordinary words like an insult become
+landmarks too, so that the machine can tell them apart.
 
 With the landmarks fixed, the machine is linear in the weighted subsequences themselves.
 Scoring uses that exact form, one table of weights per subsequence, so a word costs the
@@ -52,7 +53,11 @@ INSULT_ODDS = 20
 # Texts are alike if they agree in the smallest hash of their windows of this length.
 SIGN_CHARS = 8
 ROUNDS = 2
-REGULARISATION = 1e-5
+# Landmarks that a round may add for ordinary words that are like insults.
+HARD = 48
+# The penalty on the machine's weights falls with the number of toxic texts, down to this.
+REGULARISATION = 4e-4
+LEAST_PENALTY = 1e-6
 _SHORT = 2
 JOINED = WINDOW // _SHORT  # short words in a window
 _STRIP = re.compile(r"^[\W_]+|[\W_]+$")
@@ -212,17 +217,17 @@ class Features:
         return np.array([self.rows[w] for w in windows])
 
 
-def train(features: Features, windows: list[str], labels: np.ndarray, weights: np.ndarray):
+def train(features: Features, windows: list[str], labels: np.ndarray, weights: np.ndarray, penalty: float):
     """A linear machine: coefficients per landmark, and a bias."""
     z = np.hstack([features.of(windows), np.ones((len(windows), 1))])
     y = np.where(labels, 1.0, -1.0)
     w = np.zeros(z.shape[1])
-    penalty = REGULARISATION * np.eye(len(w))
-    penalty[-1, -1] = 1e-12
+    ridge = penalty * np.eye(len(w))
+    ridge[-1, -1] = 1e-12
     for _ in range(30):  # Newton steps for the squared hinge loss
         wrong = y * (z @ w) < 1
         zs = z[wrong] * weights[wrong, None]
-        new = np.linalg.solve(penalty + zs.T @ z[wrong], zs.T @ y[wrong])
+        new = np.linalg.solve(ridge + zs.T @ z[wrong], zs.T @ y[wrong])
         if np.allclose(new, w, atol=1e-9):
             break
         w = new
@@ -298,7 +303,10 @@ class Scorer:
 # ---- fitting -----------------------------------------------------------------------
 
 def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, max_docs: int) -> DataFrame:
-    """A bounded number of labelled texts of either class, those with the smallest hashes."""
+    """A bounded number of labelled texts of either class, those with the smallest hashes.
+
+    Of rows with the same id only one is taken, that with the smallest hash of its text.
+    """
     known = labels.select(F.col("doc_id").alias("_id"), (F.col("toxic") == 1).alias("toxic")).dropna()
     here = known.join(docs.select(F.col(doc_id).alias("_id")), "_id", "left_semi")
     numbers = {r["toxic"]: r["count"] for r in here.groupBy("toxic").count().collect()}
@@ -309,7 +317,8 @@ def _sample(docs: DataFrame, labels: DataFrame, doc_id: str, text: str, max_docs
         parts.append(near.orderBy("_h", "_id").limit(wanted).drop("_h"))
     chosen = parts[0].unionByName(parts[1])
     texts = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("string").alias("text"))
-    return texts.join(F.broadcast(chosen), "_id")
+    first = F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first")
+    return texts.join(F.broadcast(chosen), "_id").groupBy("_id", "toxic").agg(first).select("_id", "toxic", "first.text")
 
 
 def _sample_windows(sample: DataFrame) -> DataFrame:
@@ -342,13 +351,17 @@ def _insults(rows: DataFrame) -> DataFrame:
     )
 
 
-def _seeds(rows: DataFrame, found: DataFrame, sizes: dict) -> DataFrame:
-    """The best window of every toxic text: one that passes the odds rule, if it has any,
-    and by smoothed log-odds of toxic against clean texts."""
+def _seeds(rows: DataFrame, found: DataFrame, likely: DataFrame, sizes: dict) -> DataFrame:
+    """The best window of every toxic text without a likely one: one that passes the odds
+    rule, if it has any, and by smoothed log-odds of toxic against clean texts."""
     bad, good = F.col("bad") + 0.5, F.col("good") + 0.5
     share = F.log(bad / (sizes.get(True, 0) + 1)) - F.log(good / (sizes.get(False, 0) + 1))
     order = F.struct("odds", share.alias("share"), F.xxhash64("window").alias("hash"), "window", "bad")
-    best = rows.where("toxic").join(found.where("bad > 0"), "window").groupBy("id").agg(F.max(order).alias("best"))
+    explained = rows.where("toxic").join(likely.select("window"), "window", "left_semi").select("id").distinct()
+    best = (
+        rows.where("toxic").join(explained, "id", "left_anti").join(found.where("bad > 0"), "window")
+        .groupBy("id").agg(F.max(order).alias("best"))
+    )
     return best.select("best.window", "best.bad", "best.odds").distinct().orderBy(F.desc("bad"), "window")
 
 
@@ -372,32 +385,33 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
     odds = F.col("bad") * sizes.get(False, 0) >= F.col("good") * INSULT_ODDS * sizes.get(True, 0)
     likely = found.where((F.col("bad") >= INSULT_TEXTS) & odds).orderBy(F.desc("bad"), "window").limit(MAX_WINDOWS)
     insults = Counter(dict(Counter({r["window"]: r["bad"] for r in likely.collect()}).most_common(MAX_WINDOWS // 2)))
-    # Insults may be rare or varied, so the best window of every toxic text is one too.
-    seeds = _seeds(rows, found.withColumn("odds", odds), sizes).collect()
+    # Insults may be rare or varied: a toxic text without a frequent one gives its best window.
+    seeds = _seeds(rows, found.withColumn("odds", odds), likely, sizes).collect()
     passing = [r for r in seeds if r["odds"]] or ([] if insults else seeds)
     insults.update({r["window"]: r["bad"] for r in passing if r["window"] not in insults})
     if not insults:
         return Machine(uuid.uuid4().hex, {}, np.zeros((1,) * ORDER), -1.0, 4.0, 0.0)
     positives = [w for w, _ in insults.most_common()]
     clean = found.where((F.col("good") > 0) & ~odds & ~F.col("window").isin([r["window"] for r in passing if not r["odds"]]))
-    negatives = [r["window"] for r in clean.orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS // 2).collect()]
-    frequent = [r["window"] for r in clean.orderBy(F.desc("good"), "window").limit(MAX_WINDOWS // 6).collect()]
-    negatives = list(dict.fromkeys(negatives + frequent))
+    some = clean.orderBy(F.xxhash64("window"), "window").limit(MAX_WINDOWS // 2).collect()
+    frequent = clean.orderBy(F.desc("good"), "window").limit(MAX_WINDOWS // 6).collect()
+    harmless = {r["window"]: r["good"] for r in some + frequent}
+    frequent, negatives = [r["window"] for r in frequent], list(harmless)
     varied = [v for w in positives[:ALTERED] for v in altered(w)]
     gapped = [GAP.join(w) for w in positives[:ALTERED // 2]]
     half = LANDMARKS * 3 // 4
     landmarks = list(dict.fromkeys(_spread(positives, half) + gapped + frequent[:LANDMARKS - half]))
-    features = Features(landmarks)
     machine, tops = None, []
     for round_ in range(ROUNDS + 1):
+        features = Features(landmarks)
         bad = positives + [v for v in varied if v not in set(negatives)]
         both = bad + negatives
         y = np.arange(len(both)) < len(bad)
-        # Both classes weigh the same; a frequent insult weighs more than a rare one.
-        weights = np.array([np.sqrt(insults.get(w, 1)) for w in bad] + [1.0] * len(negatives))
+        # Both classes weigh the same; a frequent window weighs more than a rare one.
+        weights = np.sqrt([insults.get(w, 1) for w in bad] + [max(1, harmless[w]) for w in negatives])
         weights[y] /= weights[y].sum()
-        weights[~y] /= max(1, len(negatives))
-        coefficients, bias = train(features, both, y, weights)
+        weights[~y] /= max(1.0, weights[~y].sum())
+        coefficients, bias = train(features, both, y, weights, max(LEAST_PENALTY, REGULARISATION / sizes[True]))
         alphabet, table = primal(landmarks, coefficients)
         machine = Machine(uuid.uuid4().hex, alphabet, table, bias, 4.0, 0.0)
         best = _best_windows(rows, machine).join(found, "window").withColumn("odds", odds)
@@ -408,9 +422,13 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", tex
             r["window"] for r in tops if r["toxic"] and not r["explained"] and r["value"] > 0.5
         ]))
         # An insult that some clean texts hold stays one: no negative passes the odds rule.
-        hard = sorted({(r["value"], r["window"]) for r in tops if not r["toxic"] and not r["odds"]}, reverse=True)
-        negatives = list(dict.fromkeys(negatives + [w for _, w in hard[:MAX_WINDOWS // 3]]))
-        positives = [p for p in positives if p not in set(negatives)]
+        hard = sorted({(r["value"], r["window"], r["good"]) for r in tops if not r["toxic"] and not r["odds"]}, reverse=True)
+        harmless |= {w: n for _, w, n in hard[:MAX_WINDOWS // 3]}
+        negatives = list(harmless)
+        positives = [p for p in positives if p not in harmless]
+        # Ordinary words like an insult get landmarks, the most frequent ones first.
+        near = sorted((h for h in hard if h[0] > -1), key=lambda h: (-h[2], h[1]))
+        landmarks = list(dict.fromkeys(landmarks + [w for _, w, _ in near[:HARD]]))
     values = np.array([r["value"] for r in tops])
     toxic = np.array([r["toxic"] for r in tops], bool)
     return machine._replace(middle=_middle(values, toxic), slope=6.0)

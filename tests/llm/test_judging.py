@@ -112,7 +112,7 @@ def test_held_out_toxicity(spark, machine):
     rows = toxicity.score_toxicity(docs, machine).join(labels, "doc_id").where(toxicity.held_out(F.col("doc_id"))).collect()
     right = {t: np.mean([r["predicted"] == t for r in rows if r["toxic"] == t]) for t in (0, 1)}
     # The stems of insults in three of the languages also occur in ordinary words here.
-    assert right[1] > 0.9 and right[0] > 0.9
+    assert right[1] > 0.9 and right[0] > 0.97
     assert all(0 <= r["score"] <= 1 and (r["score"] >= 0.5) == r["predicted"] for r in rows)
 
 
@@ -342,3 +342,11 @@ def test_stages_take_anything(spark, frame):
     for _, stage in corpus_pipeline.STAGES:
         made = stage(spark, made, FOLDER)
         made.count()
+
+
+def test_the_sample_takes_one_row_of_an_id(spark):
+    rows = [(1, f"text {i}") for i in range(300)] + [(i, f"other {i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 0, i % 2) for i in range(60)], "doc_id long, quality int, toxic int")
+    taken = toxicity._sample(docs, labels, "doc_id", "text", 1000).collect()
+    assert sorted(r["_id"] for r in taken) == list(range(1, 60))
