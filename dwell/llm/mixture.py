@@ -15,6 +15,7 @@ from collections import deque
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import ArrayType
 
 from dwell.sources.storage import fresh_folder
 
@@ -116,6 +117,17 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(f"`{text}`").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
 
 
+def sources_of(docs: DataFrame, source: str) -> Column:
+    """The sources of a document: an array column as it is, any other value as the only one.
+
+    A null or empty array is the source null.
+    """
+    if not isinstance(docs.select(F.col(f"`{source}`")).schema[0].dataType, ArrayType):
+        return F.array(F.col(f"`{source}`").cast("string"))
+    found = F.col(f"`{source}`").cast("array<string>")
+    return F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(None).cast("string")))
+
+
 def pattern_of(sources: Column) -> Column:
     """A key for the set of sources of a document; null is a source like any other."""
     return F.to_json(F.array_sort(F.array_distinct(sources)))
@@ -131,6 +143,7 @@ class Mix(NamedTuple):
     sizes: dict  # by source: the size of the documents in it
     targets: dict  # by source
     flows: list[tuple[tuple, dict]]  # by pattern: what goes to each of its sources
+    keys: list[str]  # the patterns as the plan has them, in the same order
 
 
 def plan_mix(slim: DataFrame, weigh, seed: int = SEED, repeats: int = REPEATS) -> Mix:
@@ -180,7 +193,7 @@ def plan_mix(slim: DataFrame, weigh, seed: int = SEED, repeats: int = REPEATS) -
     cuts = {r["pattern"]: r["last"] or r["bucket"] for r in edges.join(last, "pattern", "left").collect()}
     rows = [(p, copies, cuts.get(p, "") if rest else "") for p, copies, rest in wanted]
     plan = spark.createDataFrame(rows, "pattern string, copies long, cut string")
-    return Mix(plan, sizes, targets, [(p, f) for (p, _), f in zip(patterns, flows)])
+    return Mix(plan, sizes, targets, [(p, f) for (p, _), f in zip(patterns, flows)], [r["pattern"] for r in sums])
 
 
 def times_taken() -> Column:
@@ -200,20 +213,23 @@ def mix_documents(docs: DataFrame, weigh=weights_in_turn, doc_id: str = "doc_id"
     """Per document its id, ``size`` in words, the ``source_size`` and ``target`` of its
     source, and ``taken``, the words the mix takes of it with repetitions.
 
-    A null or empty text has size 0 and adds nothing.  Reruns agree; an empty table gives
-    no rows.
+    ``source`` may be an array of sources: such a document counts in the size of each, its
+    words go where the flow routes its pattern, and ``source_size`` and ``target`` are sums
+    over its sources.  A null or empty text has size 0 and adds nothing; texts of any length
+    are counted whole.  Rows with the same id, or without one, stay or go together.  Reruns
+    agree; an empty table gives no rows.
     """
     spark = docs.sparkSession
     kind = docs.select(doc_id).schema[0].dataType.simpleString()
     folder = fresh_folder(spark, "mix-sizes")
     docs.select(
-        F.col(doc_id).alias("doc_id"), F.col(source).cast("string").alias("source"), word_count(text).alias("size"),
-        pattern_of(F.array(F.col(source).cast("string"))).alias("pattern"), seeded_order(doc_id, seed).alias("place"),
+        F.col(doc_id).alias("doc_id"), word_count(text).alias("size"),
+        pattern_of(sources_of(docs, source)).alias("pattern"), seeded_order(doc_id, seed).alias("place"),
     ).write.parquet(folder)
-    slim = spark.read.schema(f"doc_id {kind}, source string, size long, pattern string, place string").parquet(folder)
+    slim = spark.read.schema(f"doc_id {kind}, size long, pattern string, place string").parquet(folder)
     mix = plan_mix(slim, weigh, seed)
     facts = spark.createDataFrame(
-        [(json.dumps([s], ensure_ascii=False, separators=(",", ":")), n, float(mix.targets[s])) for s, n in mix.sizes.items()],
+        [(k, sum(mix.sizes[s] for s in p), float(sum(mix.targets[s] for s in p))) for k, (p, _) in zip(mix.keys, mix.flows)],
         "pattern string, source_size long, target double",
     )
     numbered = mix.plan.join(facts, "pattern")
@@ -224,12 +240,15 @@ def mix_documents(docs: DataFrame, weigh=weights_in_turn, doc_id: str = "doc_id"
 
 def repeat_documents(docs: DataFrame, weigh=weights_in_turn, doc_id: str = "doc_id", source: str = "source",
                      text: str = "text", seed: int = SEED) -> DataFrame:
-    """The mixed documents: every row as often as the mix takes it, columns as they were."""
+    """The mixed documents: every row as often as the mix takes it, columns as they were.
+
+    Sources, texts and ids are taken as in ``mix_documents``; an empty table gives no rows.
+    """
     names = docs.columns
     plain = docs.toDF(*[f"c{i}" for i in range(len(names))])
     at = {c: f"c{names.index(c)}" for c in (doc_id, source, text)}
     keyed = plain.withColumns({
-        "pattern": pattern_of(F.array(F.col(at[source]).cast("string"))),
+        "pattern": pattern_of(sources_of(plain, at[source])),
         "place": seeded_order(at[doc_id], seed),
     })
     mix = plan_mix(keyed.select("pattern", word_count(at[text]).alias("size"), "place"), weigh, seed)

@@ -218,3 +218,42 @@ def _zero_copies(docs, got):
     """Rows of size 0 are repeated too; nothing in ``taken`` shows how often."""
     repeated = mixture.repeat_documents(docs).withColumn("n", mixture.word_count("text"))
     return repeated.where(F.col("n") == 0).count()
+
+
+def _two_sources(spark):
+    words = " ".join(["w"] * 10)
+    lists = [["a"]] * 40 + [["b", "a", "a"]] * 40 + [["b"]] * 10 + [[], None]
+    return spark.createDataFrame([(i, words, s) for i, s in enumerate(lists)], "doc_id long, text string, source array<string>")
+
+
+def test_documents_of_two_sources_are_mixed(spark):
+    docs = _two_sources(spark)
+    seen = {}
+
+    def weigh(sizes):
+        seen.update(sizes)
+        return {"a": 400.0, "b": 500.0, None: 0.0}
+
+    # Every document once is the only way without repetitions.
+    rows = {r["doc_id"]: r for r in mixture.mix_documents(docs, weigh).collect()}
+    assert seen == {"a": 800, "b": 500, None: 20}
+    assert [rows[i]["taken"] for i in range(92)] == [10] * 90 + [0, 0]
+    assert [(rows[i]["source_size"], rows[i]["target"]) for i in (0, 40, 80, 90, 91)] == [
+        (800, 400.0), (1300, 900.0), (500, 500.0), (20, 0.0), (20, 0.0)
+    ]
+    kept = mixture.repeat_documents(docs, weigh)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == list(range(90))
+
+
+def test_repeated_overlaps_follow_the_flow(spark):
+    docs = _two_sources(spark)
+    targets = {"a": 900.0, "b": 1000.0, None: 10.0}
+    taken = {}
+    for r in mixture.mix_documents(docs, lambda sizes: targets).collect():
+        i = r["doc_id"]
+        key = "a" if i < 40 else "ab" if i < 80 else "b" if i < 90 else None
+        taken[key] = taken.get(key, 0) + r["taken"]
+    # In all 1900 words; a third copy costs more, so each pattern is first taken twice.
+    assert sum(taken.values()) == 1910 and taken["b"] <= 300 and taken["a"] <= 900 and taken["b"] + taken["ab"] >= 1000
+    again = mixture.repeat_documents(docs, lambda sizes: targets)
+    assert again.count() * 10 == 1910
