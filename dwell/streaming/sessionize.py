@@ -9,13 +9,15 @@ adding up signed durations gives totals that correct themselves.
   down to runs of one window, and drops polls that neither open nor end anything.  A
   device with very many polls is spread over its minutes in that step, and its state is
   met by one row per minute and window change.
-* The state of a device is its last poll and the running session.  Only devices with new
-  polls, or whose timeout is due, are read and written in a micro-batch.  Which state store
-  holds it is the session's setting.
-* With ``idle_close`` each running session has an event-time timeout at its last poll plus
-  the gap limit.  When the watermark (the newest poll of any device less
-  ``lateness_seconds``, to the millisecond) passes it, the session is announced as closed
-  at its last poll.  A poll that still comes within the gap takes that back.
+* The state of a device is its last poll and the running session.  Devices are dealt to
+  ``BUCKETS`` keys by hash, and a key holds the states of its devices: handing over a key
+  costs about as much as a hundred devices in it.  Only keys with new polls, or whose
+  timeout is due, are read and written in a micro-batch.  Which state store holds them is
+  the session's setting.
+* With ``idle_close`` a key has an event-time timeout at the earliest last poll, plus the gap
+  limit, of its running sessions.  When the watermark (the newest poll of any device less
+  ``lateness_seconds``, to the millisecond) passes that of a session, it is announced as
+  closed at its last poll.  A poll that still comes within the gap takes that back.
 
 Polls at or before the last poll of their own device in an earlier micro-batch are late;
 they are counted and left out.  Polls of one window within a minute count as one in that,
@@ -49,9 +51,10 @@ RUNS = (
 )
 PACKED = "device_id long, runs binary, mark timestamp"
 PACK_DEVICES, PACK_RUNS = 5_000, 20_000
-STATE = (
-    "last_us long, last_seq long, app string, title string, start_us long, session_seq long, shown int"
-)
+# Keys of the state, and what one holds: device -> state, pickled.  More keys cost a
+# micro-batch more, fewer make it rewrite more devices that had no polls.
+BUCKETS, UNNAMED = 4096, -1
+STATE = "devices binary"
 CHANGES = (
     "device_id long, session_seq long, app string, title string, start_us long, end_us long, "
     "sign int, is_final boolean, late_polls long"
@@ -256,24 +259,42 @@ def _frame(rows: list[tuple]) -> pd.DataFrame:
 
 
 def _take_batch(max_gap_seconds: int, idle_close: bool):
-    """What happens to a device with new polls, or whose timeout is due."""
+    """What happens to the devices of a key with new polls, or whose timeout is due."""
     max_gap_us = max_gap_seconds * 1_000_000
 
     def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        device = Device(key[0], state.get if state.exists else None)
+        states = pickle.loads(state.get[0]) if state.exists else {}
+        found: dict[int | None, list[tuple]] = {}
         if not state.hasTimedOut:
-            found = [run for part in parts for packed in part["runs"] for run in pickle.loads(packed)]
-            found.sort(key=lambda r: (r[5] != KNOWN, r[0], r[1]))
-            device.take(found, max_gap_us)
-        if idle_close and device.running and device.shown == OPEN:
-            due = device.due_ms(max_gap_us)
-            if due <= state.getCurrentWatermarkMs():
-                device.fall_idle()
-            else:
-                state.setTimeoutTimestamp(due)
-        state.update(device.state())
-        if device.out:
-            yield _frame(device.out)
+            for part in parts:
+                numbers = [None] * len(part) if key[0] == UNNAMED else part["device_id"].tolist()
+                for number, packed in zip(numbers, part["runs"]):
+                    found.setdefault(number, []).extend(pickle.loads(packed))
+        out: list[tuple] = []
+        for number, runs in found.items():
+            runs.sort(key=lambda r: (r[5] != KNOWN, r[0], r[1]))
+            device = Device(number, states.get(number))
+            device.take(runs, max_gap_us)
+            states[number] = device.state()
+            out += device.out
+        if idle_close:
+            now, due = state.getCurrentWatermarkMs(), []
+            for number, known in states.items():
+                device = Device(number, known)
+                if device.running and device.shown == OPEN:
+                    at = device.due_ms(max_gap_us)
+                    # As a timeout of its own would be: passed, or reached with new polls.
+                    if at < now or (at == now and number in found):
+                        device.fall_idle()
+                        states[number] = device.state()
+                        out += device.out
+                    else:
+                        due.append(at)
+            if due:
+                state.setTimeoutTimestamp(min(due))
+        state.update((pickle.dumps(states),))
+        if out:
+            yield _frame(out)
 
     return update
 
@@ -310,7 +331,9 @@ class SessionStream:
             runs = runs.unionByName(known, allowMissingColumns=True)
         if self.idle_close:
             runs = runs.withWatermark("mark", f"{self.lateness} seconds")
-        changed = runs.groupBy("device_id").applyInPandasWithState(
+        dealt = F.pmod(F.xxhash64("device_id"), F.lit(BUCKETS))
+        bucket = F.when(F.col("device_id").isNull(), UNNAMED).otherwise(dealt)
+        changed = runs.withColumn("bucket", bucket).groupBy("bucket").applyInPandasWithState(
             _take_batch(self.max_gap, self.idle_close), CHANGES, STATE, "append",
             GroupStateTimeout.EventTimeTimeout if self.idle_close else GroupStateTimeout.NoTimeout,
         )

@@ -160,6 +160,25 @@ def test_stream_goes_on_after_history_in_batch_form(spark):
     assert rows_of(sessions.filter("end_time is not null")) | feed.all() == simulate(polls, GAP, ("Desktop",))
 
 
+def test_devices_share_a_bounded_number_of_state_keys(spark, monkeypatch):
+    monkeypatch.setattr(ss, "BUCKETS", 3)
+    polls = random_polls(random.Random(12), devices=20, polls=30)
+    polls.sort(key=lambda r: (r[1], r[2]))
+    for idle_close in (False, True):
+        feed, half = Feed(spark, idle_close=idle_close), len(polls) // 2
+        keys = []
+        for part in (polls[:half], polls[half:]):
+            arrive(spark, feed.folder, part)
+            feed.job = ss.SessionStream(spark, feed.root, GAP, ("Desktop",), idle_close=idle_close)
+            query = feed.job.start(spark.readStream.schema(SAMPLES).parquet(feed.folder))
+            query.awaitTermination()
+            keys += [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+        assert max(keys) <= 3
+        want, got = simulate(polls, GAP, ("Desktop",)), feed.all()
+        assert {r[:5] for r in got} == {r[:5] for r in want}
+        assert idle_close or got == want
+
+
 def _written(root, folder, since):
     """Bytes of files that appeared in a folder of the stream after a time."""
     base = pathlib.Path(root.removeprefix("file:")) / folder
