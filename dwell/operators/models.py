@@ -18,7 +18,7 @@ from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from dwell.functions.text import app_title
-from dwell.operators.features import vocabulary, with_counts, with_one_two_grams, with_subwords
+from dwell.operators.features import vocabulary, with_one_two_grams, with_subwords
 from dwell.operators.training import DEFAULT_LABELS, with_class_weights
 
 MAX_TERMS = 1000
@@ -70,8 +70,7 @@ def fit_tfidf_features(grams: DataFrame, max_terms: int = MAX_TERMS) -> Pipeline
 
     The vocabulary, at most ``max_terms`` rows, becomes part of the model.
     """
-    counted = with_counts(grams, "grams").select("counts")
-    rows = vocabulary(counted, max_terms=max_terms).collect()
+    rows = vocabulary(grams, "grams", False, max_terms=max_terms).collect()
     if not rows:
         raise ValueError("no term is frequent enough")
     counter = CountVectorizerModel.from_vocabulary(

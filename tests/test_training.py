@@ -14,6 +14,7 @@ from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
 from dwell.operators import models as md
 from dwell.operators import training as tr
+from dwell.plans import queries
 
 LABELS = ("coding", "learning", "social")
 
@@ -291,3 +292,43 @@ def test_certificate_equals_plain_sums(spark, kind):
     assert cf.settled(cf.certify(short, fitted, weight)).where("not is_settled").count() > 0
     nothing = cf.certify(model, ready.limit(0), "weight")
     assert nothing.rows == 0 and nothing.moments.where("observed <> 0 or expected <> 0").count() == 0
+
+
+def test_vocabulary_counts_only_pairs_that_can_reach_it(spark, monkeypatch):
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(60)]
+    texts = [" ".join(words[min(int(rng.expovariate(0.12)), 59)] for _ in range(rng.randrange(0, 40))) for _ in range(80)]
+    rows = [*enumerate(texts), (98, None), (99, "")]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(3)
+    split = frame.select(ft.terms(F.col("text")).alias("w"))
+    df, cf = collections.Counter(), collections.Counter()
+    for text in texts:
+        found = text.split()
+        found += [f"{a} {b}" for a, b in zip(found, found[1:])]
+        cf.update(found)
+        df.update(set(found))
+    fit = sorted((t for t in cf if df[t] >= 2 and df[t] * 10 <= len(rows) * 8), key=lambda t: (-cf[t], t))
+    for size, slice_words, candidates in ((12, 1_000_000, 20_000), (12, 7, 20_000), (12, 50, 5), (500, 50, 20_000)):
+        monkeypatch.setattr(ft, "_SLICE_WORDS", slice_words)
+        monkeypatch.setattr(ft, "_CANDIDATES", candidates)
+        got = [(r.term, r.df, r.cf, r.n_docs) for r in ft.vocabulary(split, "w", True, max_terms=size).collect()]
+        assert got == [(t, df[t], cf[t], len(rows)) for t in fit[:size]]
+    monkeypatch.setattr(ft, "_CANDIDATES", 20_000)
+    among = ft._reaching(split, "w", len(rows), 2, 8, 12)
+    assert 12 <= len(among) < 20
+    assert ft.count_terms(split, "w", True, among).count() < len(cf) / 2
+
+
+def test_subword_fit_takes_few_large_tasks(spark):
+    rows = [("a" if i % 2 else "b", " ".join(f"x{i * j % 97}" for j in range(2000))) for i in range(400)]
+    frame = spark.createDataFrame(rows, "label string, text string")
+    cores = spark.sparkContext.defaultParallelism
+    assert md._by_length(frame, "text").rdd.getNumPartitions() == cores
+    assert md._by_length(frame.limit(0), "text").rdd.getNumPartitions() == cores
+
+
+def test_the_split_is_stored_once(spark):
+    parts = [q for _ in range(2) for q in queries._split(spark, "/root/testdata/sf0.001")]
+    assert parts[0].inputFiles() == parts[2].inputFiles()
+    assert all("Exchange" not in q._jdf.queryExecution().executedPlan().toString() for q in parts)
+    assert parts[0].count() + parts[1].count() == queries.labelled(spark, "/root/testdata/sf0.001").count()
