@@ -32,9 +32,9 @@ def _label_indexer() -> StringIndexer:
 
 
 @contextmanager
-def _kept(df: DataFrame):
+def _kept(df: DataFrame, level: StorageLevel = StorageLevel.MEMORY_AND_DISK):
     """Keep a training frame for the passes of a fit; lost blocks are computed again."""
-    df = df.persist(StorageLevel.MEMORY_AND_DISK)
+    df = df.persist(level)
     try:
         yield df
     finally:
@@ -53,6 +53,19 @@ def _balanced(vectors: DataFrame, features: int) -> DataFrame:
     return vectors.repartition(max(cores, min(_MOST_TASKS, features // _FEATURES_PER_TASK)))
 
 
+# A pass over subword vectors handles one dense gradient (labels x buckets) per block of
+# rows and sends one per task, so both hold much more than a gradient does.
+_CHARS_PER_TASK = 6_000_000
+_BLOCK_MB = 32.0
+
+
+def _by_length(examples: DataFrame, text: str) -> DataFrame:
+    """Even partitions by characters, and one for every core at least."""
+    cores = examples.sparkSession.sparkContext.defaultParallelism
+    chars = examples.agg(F.sum(F.length(text).cast("long")).alias("chars")).collect()[0]["chars"] or 0
+    return examples.repartition(max(cores, min(_MOST_TASKS, chars // _CHARS_PER_TASK)))
+
+
 def _counted(df: DataFrame, grams: str = "grams") -> tuple[int, int]:
     """Rows, and features of all rows."""
     row = df.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size(grams).cast("long")).alias("features")).collect()[0]
@@ -120,14 +133,15 @@ def fit_subword_softmax(
     """Linear softmax on hashed words, word n-grams and character n-grams."""
     hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets)
     unit = Normalizer(inputCol="hashed", outputCol="features", p=2.0)
-    prepared = subword_input(examples)
-    hashed = unit.transform(hashing.transform(prepared))
-    with _kept(_balanced(hashed.select("label", "features"), _counted(prepared)[1])) as train:
-        indexer = _label_indexer().fit(train)
+    indexer = _label_indexer().fit(examples)
+    even = _by_length(indexer.transform(examples).select("label_index", "text"), "text")
+    hashed = unit.transform(hashing.transform(subword_input(even)))
+    # The fit reads these rows a few times and keeps blocks of its own for its passes.
+    with _kept(hashed.select("label_index", "features"), StorageLevel.DISK_ONLY) as train:
         regression = LogisticRegression(
             featuresCol="features", labelCol="label_index", family="multinomial",
-            maxIter=max_iter, regParam=reg, standardization=False,
-        ).fit(indexer.transform(train))
+            maxIter=max_iter, regParam=reg, standardization=False, maxBlockSizeInMB=_BLOCK_MB,
+        ).fit(train)
     return PipelineModel(stages=[hashing, unit, indexer, regression])
 
 
