@@ -172,6 +172,31 @@ def test_subwords_against_brute_force(spark):
         assert got[i] == want
 
 
+def test_subwords_are_built_for_many_texts_at_once(spark, monkeypatch):
+    rng = random.Random(5)
+    some = ["a", "ab", "ab", "<", ">b", "é", "漢字", "😀x", "abcdefgh", " ", "\n", "\t\r", "\x0b\x0c", "\u00a0", "\x1c", "\u3000"]
+    texts = ["".join(rng.choice(some) for _ in range(rng.randint(0, 30))) for _ in range(200)]
+    rows = [*enumerate([*texts, "", " ", "abcde " * 300, None]), (0, texts[1])]
+    frame = spark.createDataFrame(rows, "id long, text string").repartition(3)
+
+    def brute(text, low, high):
+        w = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+        runs = [" ".join(w[k:k + n]) for n in (2, 3) for k in range(len(w) - n + 1)]
+        marked = [f"<{x}>" for x in w]
+        return w + runs + [m[k:k + n] for n in range(low, high + 1) for m in marked for k in range(len(m) - n + 1)]
+
+    for size, most, low, high in ((2_000_000, 500_000, 3, 6), (100, 50, 3, 6), (1000, 300, 1, 2), (1000, 300, 4, 3)):
+        monkeypatch.setattr(ft, "_SUBWORD_BYTES", size)
+        monkeypatch.setattr(ft, "_SUBWORD_GRAMS", most)
+        made = ft.with_subwords(frame, "text", "g", low, high, different="n")
+        assert made.columns == ["id", "text", "g", "n"]
+        for r in made.collect():
+            want = None if r.text is None else brute(r.text, low, high)
+            assert r.g == want and r.n == (None if want is None else len(set(want)))
+    plan = made.select("g", "n")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "regexp" not in plan
+
+
 @pytest.fixture(scope="module")
 def texts(spark):
     rng = random.Random(2)
