@@ -23,11 +23,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from dwell.llm.texts import WordTable, piece_of, slices, word_keys
+from dwell.llm.texts import LONG_WORD, piece_of, slices, word_keys
 
 # A file is closed once it holds so many bytes.
 FILE_BYTES = 16 << 20
@@ -35,8 +36,8 @@ FILE_BYTES = 16 << 20
 POLYNOMIAL = 0x82F63B78
 MASK_DELTA = 0xA282EAD8
 BLOCK = 256
-# Pieces kept by a worker process, with their ids.
-WORDS = 1_000_000
+# Bytes of the words that a worker process keeps with their ids.
+KEPT_BYTES = 24 << 20
 # Distinct pieces in one call of the tokenizer.
 JOINED = 500
 
@@ -161,14 +162,15 @@ def payloads_of(data: bytes, offsets: list[int]) -> list[bytes]:
 # ---- encoding ----------------------------------------------------------------
 
 class Ids:
-    """Whole texts to ids with a tokenizer file, one library call per distinct word."""
+    """Whole texts to ids with a tokenizer file, which sees distinct words that are not known."""
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.table = WordTable(self.solve, WORDS)
+        # Known words and their ids: as Arrow arrays, far smaller than a dictionary.
+        self.words, self.ids = pa.array([], pa.string()), pa.array([], pa.binary())
         # Cuts at spaces are safe only for a byte-level tokenizer without a prefix space,
         # and if no added token holds or swallows a space.
         added = self.tokenizer.get_added_tokens_decoder().values()
@@ -186,9 +188,12 @@ class Ids:
             self.bytes_of[i] = len(token.content.encode())
 
     def solve(self, keys: list[str]) -> list[bytes]:
-        """Ids of distinct pieces: many to a library call, told apart by their bytes."""
+        """Ids of distinct pieces: many to a library call, told apart by their bytes.
+
+        What is no key of ``word_keys`` has none.
+        """
         found = [b""] * len(keys)
-        spaced = [i for i, k in enumerate(keys) if not k.startswith(" ")]
+        spaced = [i for i, k in enumerate(keys) if k and not k[0].isspace()]
         alone = [i for i, k in enumerate(keys) if k.startswith(" ")]
         for i, ids in zip(alone, self.encoded([piece_of(keys[i]) for i in alone])):
             found[i] = ids
@@ -209,12 +214,64 @@ class Ids:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, self.dtype).tobytes() for e in found]
 
+    def lookup(self, words: pa.StringArray) -> pa.BinaryArray:
+        """Ids of distinct words; the tokenizer sees those that are not known yet."""
+        at = pc.index_in(words, value_set=self.words)
+        if not at.null_count:
+            return self.ids.take(at)
+        new = words.filter(pc.is_null(at))
+        solved = pa.array(self.solve(new.to_pylist()), pa.binary())
+        place = pc.fill_null(at, -1).to_numpy().copy()
+        place[place < 0] = len(self.words) + np.arange(len(new), dtype=place.dtype)
+        found = pa.concat_arrays([self.ids, solved]).take(pa.array(place))
+        # Only speed depends on what is kept: a full table starts again from these words.
+        full = self.words.nbytes + self.ids.nbytes + new.nbytes + solved.nbytes > KEPT_BYTES
+        words, ids = (words, found) if full else (new, solved)
+        short = pc.less_equal(pc.binary_length(words), LONG_WORD)
+        words, ids = words.filter(short), ids.filter(short)
+        if not full:
+            words, ids = pa.concat_arrays([self.words, words]), pa.concat_arrays([self.ids, ids])
+        elif words.nbytes + ids.nbytes > KEPT_BYTES // 2:
+            words, ids = pa.array([], pa.string()), pa.array([], pa.binary())
+        self.words, self.ids = words, ids
+        return found
+
+    def line_up(self, words: pa.StringArray) -> tuple[np.ndarray, memoryview]:
+        """The ids of words one after another, and where those of each word begin and end."""
+        coded = words.dictionary_encode()
+        found = self.lookup(coded.dictionary).cast(pa.large_binary()).take(coded.indices)
+        if not len(found):
+            return np.zeros(1, np.int64), memoryview(b"")
+        _, bounds, data = found.buffers()
+        return np.frombuffer(bounds, np.int64)[:len(found) + 1], memoryview(data or b"")
+
     def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of texts, cut at spaces and put together in Arrow.
+
+        The first word of a text is a key of its own kind.  A space that no word follows
+        leaves something that is no key and has no ids; ``word_keys`` cuts such texts.
+        """
         if not self.by_word:
             return self.encoded(texts)
-        keys = [word_keys(t) for t in texts]
-        ids = self.table.fill(keys)
-        return [b"".join(map(ids.__getitem__, k)) for k in keys]
+        if not texts:
+            return []
+        cut = [t.partition(" ") for t in texts]
+        rests = pc.split_pattern(pa.array([rest if space else None for _, space, rest in cut], pa.string()), " ")
+        ends = np.cumsum(pc.fill_null(pc.list_value_length(rests), 0).to_numpy())
+        firsts = pa.array([" " + first for first, _, _ in cut], pa.string())
+        bounds, data = self.line_up(pa.concat_arrays([firsts, rests.flatten()]))
+        none = np.flatnonzero(np.diff(bounds[len(texts):]) == 0)
+        again = np.unique(np.searchsorted(ends, none, side="right")).tolist()
+        at = bounds[:len(texts) + 1].tolist()
+        to = bounds[len(texts) + np.concatenate([[0], ends])].tolist()
+        out = [b"".join((data[at[i]:at[i + 1]], data[to[i]:to[i + 1]])) for i in range(len(texts))]
+        if again:
+            keys = [word_keys(texts[i]) for i in again]
+            bounds, data = self.line_up(pa.array([k for ks in keys for k in ks], pa.string()))
+            to = bounds[np.cumsum([0, *map(len, keys)])].tolist()
+            for i, lo, hi in zip(again, to, to[1:]):
+                out[i] = bytes(data[lo:hi])
+        return out
 
 
 @lru_cache(maxsize=2)

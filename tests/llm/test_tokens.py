@@ -101,6 +101,30 @@ def test_checksums():
         records.payloads_of(data[:20] + bytes([data[20] ^ 1]) + data[21:], at[:3])
 
 
+@pytest.fixture(scope="module")
+def ids():
+    return records.Ids(public_tokenizers.path(queries.BYTES))
+
+
+def _library(texts):
+    return [np.array(BYTES.encode(t, add_special_tokens=False).ids, "<u2").tobytes() for t in texts]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.one_of(TEXT, st.text(max_size=30), st.just("a<|endoftext|> b")), max_size=5))
+def test_records_equal_the_library(ids, texts):
+    assert ids.encode(texts) == _library(texts)
+
+
+def test_known_words_take_bounded_memory(monkeypatch):
+    monkeypatch.setattr(records, "KEPT_BYTES", 30_000)
+    ids = records.Ids(public_tokenizers.path(queries.BYTES))
+    for i in range(30):
+        texts = ["long" * (3000 + i), *(f"the w{i * 100 + j} of x{j}" for j in range(100)), "", "a  b ", " "]
+        assert ids.encode(texts) == _library(texts)
+        assert 0 < ids.words.nbytes + ids.ids.nbytes <= 30_000
+
+
 def _records(spark, docs):
     folder = fresh_folder(spark, "test-records")
     index = records.write_records(docs, folder, public_tokenizers.path(queries.BYTES), 2)
