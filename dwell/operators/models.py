@@ -6,19 +6,22 @@ import math
 from collections.abc import Callable, Sequence
 from contextlib import contextmanager
 
-from pyspark import StorageLevel
+import numpy as np
+from pyspark import SparkContext, StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.common import _py2java
 from pyspark.ml.feature import (
     CountVectorizerModel, ElementwiseProduct, HashingTF, Normalizer, StringIndexer,
     StringIndexerModel,
 )
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import Vectors
+from pyspark.ml.linalg import DenseMatrix, Vectors
 from pyspark.sql import DataFrame, functions as F
 
 from dwell.functions.text import app_title
 from dwell.operators.features import vocabulary, with_one_two_grams, with_subwords
+from dwell.operators.softmax import fit_blocks, subword_blocks
 from dwell.operators.training import DEFAULT_LABELS, with_class_weights
 
 MAX_TERMS = 1000
@@ -53,10 +56,9 @@ def _balanced(vectors: DataFrame, features: int) -> DataFrame:
     return vectors.repartition(max(cores, min(_MOST_TASKS, features // _FEATURES_PER_TASK)))
 
 
-# A pass over subword vectors handles one dense gradient (labels x buckets) per block of
-# rows and sends one per task, so both hold much more than a gradient does.
-_CHARS_PER_TASK = 6_000_000
-_BLOCK_MB = 32.0
+# Characters of a task of the subword fit.  A task counts each word once per block of texts
+# and sends one dense gradient (labels x buckets) a pass, so it holds much more than that.
+_CHARS_PER_TASK = 24_000_000
 
 
 def _by_length(examples: DataFrame, text: str) -> DataFrame:
@@ -130,19 +132,32 @@ def subword_input(df: DataFrame, text: str = "text") -> DataFrame:
 def fit_subword_softmax(
     examples: DataFrame, max_iter: int = 200, buckets: int = SUBWORD_BUCKETS, reg: float = 1e-4
 ) -> PipelineModel:
-    """Linear softmax on hashed words, word n-grams and character n-grams."""
+    """Linear softmax on hashed words, word n-grams and character n-grams.
+
+    The loss is that of ``LogisticRegression`` on the vectors of ``subword_input``; it is
+    minimised over numbers of words, see ``softmax``.
+    """
     hashing = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets)
     unit = Normalizer(inputCol="hashed", outputCol="features", p=2.0)
     indexer = _label_indexer().fit(examples)
     even = _by_length(indexer.transform(examples).select("label_index", "text"), "text")
-    hashed = unit.transform(hashing.transform(subword_input(even)))
-    # The fit reads these rows a few times and keeps blocks of its own for its passes.
-    with _kept(hashed.select("label_index", "features"), StorageLevel.DISK_ONLY) as train:
-        regression = LogisticRegression(
-            featuresCol="features", labelCol="label_index", family="multinomial",
-            maxIter=max_iter, regParam=reg, standardization=False, maxBlockSizeInMB=_BLOCK_MB,
-        ).fit(train)
-    return PipelineModel(stages=[hashing, unit, indexer, regression])
+    blocks = subword_blocks(even, "label_index", "text", buckets)
+    regression = LogisticRegression(
+        featuresCol="features", labelCol="label_index", family="multinomial",
+        maxIter=max_iter, regParam=reg, standardization=False,
+    )
+    fitted = _fitted(regression, *fit_blocks(blocks, len(indexer.labels), buckets, reg, max_iter))
+    return PipelineModel(stages=[hashing, unit, indexer, fitted])
+
+
+def _fitted(regression: LogisticRegression, coefficients: np.ndarray, intercepts: np.ndarray) -> LogisticRegressionModel:
+    """The model of a regression with coefficients that were found elsewhere."""
+    context = SparkContext.getOrCreate()
+    matrix = _py2java(context, DenseMatrix(*coefficients.shape, coefficients.ravel(), isTransposed=True))
+    made = context._jvm.org.apache.spark.ml.classification.LogisticRegressionModel(
+        regression.uid, matrix.compressed(), _py2java(context, Vectors.dense(intercepts)), len(intercepts), True
+    )
+    return regression._copyValues(LogisticRegressionModel(made))
 
 
 # ---- scoring --------------------------------------------------------------

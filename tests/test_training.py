@@ -3,9 +3,12 @@ import hashlib
 import math
 import random
 import re
+import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
+from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.sql import functions as F
 
 from dwell.operators import centroids as ce
@@ -13,6 +16,7 @@ from dwell.operators import certificates as cf
 from dwell.operators import evaluation as ev
 from dwell.operators import features as ft
 from dwell.operators import models as md
+from dwell.operators import softmax as sx
 from dwell.operators import training as tr
 from dwell.plans import queries
 
@@ -357,3 +361,71 @@ def test_the_split_is_stored_once(spark):
     assert parts[0].inputFiles() == parts[2].inputFiles()
     assert all("Exchange" not in q._jdf.queryExecution().executedPlan().toString() for q in parts)
     assert parts[0].count() + parts[1].count() == queries.labelled(spark, "/root/testdata/sf0.001").count()
+
+
+def _plain_subwords(text, low=3, high=6):
+    words = re.findall(r"[^ \t\n\x0b\f\r]+", text)
+    runs = [" ".join(words[k : k + n]) for n in (2, 3) for k in range(len(words) - n + 1)]
+    marked = [f"<{w}>" for w in words]
+    return words + runs + [m[k : k + n] for n in range(low, high + 1) for m in marked for k in range(len(m) - n + 1)]
+
+
+def test_blocks_hold_the_vectors_of_the_texts(spark, monkeypatch):
+    """Margins and slopes of blocks against sums over the vectors of ``HashingTF``."""
+    rng = random.Random(4)
+    pool = ["a", "bé", "日本語の長い単語", "x" * 30, "tion", "station", "nation", "😀", "word-1"] + [f"w{i}" for i in range(30)]
+    texts = ["", " \n ", "one", "a a a a", "y" * 3000] + [" ".join(rng.choices(pool, k=rng.randrange(1, 60))) for _ in range(60)]
+    buckets, rows = 97, [(i % 3, t) for i, t in enumerate(texts)]
+    frame = spark.createDataFrame(rows, "label int, text string").coalesce(1)
+    hashed = HashingTF(inputCol="grams", outputCol="hashed", numFeatures=buckets).transform(md.subword_input(frame))
+    unit = Normalizer(inputCol="hashed", outputCol="features", p=2.0).transform(hashed).select("features").collect()
+    x = np.array([r.features.toArray() for r in unit])
+    plain = [collections.Counter(_plain_subwords(t)) for t in texts]
+    assert [r.hashed.values.sum() for r in hashed.select("hashed").collect()] == [sum(c.values()) for c in plain]
+    weights, offset = np.random.default_rng(1).normal(size=(2, buckets)), np.array([0.3, -0.2])
+    margin = np.vstack([weights @ x.T + offset[:, None], -(weights @ x.T + offset[:, None]).sum(0)])
+    odds = np.exp(margin - margin.max(0))
+    p = odds / odds.sum(0)
+    own = np.array([l for l, _ in rows])
+    residual = p - np.eye(3)[own].T
+    want = np.append(np.hstack([residual[:2] @ x, residual[:2].sum(1)[:, None]]).ravel(), -np.log(p[own, np.arange(len(own))]).sum())
+    for size, at_once, high in ((12_000_000, 100_000, 6), (200, 7, 6), (3000, 50, 6)):
+        for name in ("_AT_ONCE", "_HASHED_AT_ONCE", "_SORTED_AT_ONCE"):
+            monkeypatch.setattr(sx, name, at_once)
+        monkeypatch.setattr(sx, "_BLOCK_BYTES", size)
+        blocks = list(sx._blocks(rows, buckets, 3, high))
+        assert len(blocks) == 1 or size < 12_000_000
+        got = np.concatenate([sx._margins(b, weights) for b in blocks], 1)
+        assert np.allclose(got, weights @ x.T, rtol=0, atol=1e-12)
+        assert np.allclose(sx._loss_and_slopes(blocks, weights, offset), want, rtol=0, atol=1e-10)
+        sums = sx._label_sums(blocks, 3, buckets)
+        assert np.allclose(sums[:, :-1], np.eye(3)[own].T @ x, rtol=0, atol=1e-11) and sums[:, -1].tolist() == [22, 22, 21]
+    # Other lengths of n-grams: shorter than a marked word, and none at all.
+    for low, high in ((1, 2), (4, 3), (2, 9)):
+        terms = [[zlib.crc32(g.encode()) for g in _plain_subwords(t, low, high)] for t in texts]
+        scale = np.concatenate([b.scale for b in sx._blocks(rows, 2**20, low, high)])
+        squares = [sum(n * n for n in collections.Counter(t).values()) for t in terms]
+        assert np.allclose(scale, [1 / math.sqrt(s) if s else 0.0 for s in squares], rtol=0.01)
+
+
+def test_subword_fit_reaches_the_minimum_and_keeps_words_once(spark):
+    rng = random.Random(6)
+    words = ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(300)]
+    rows = [("abc"[i % 3], " ".join(rng.choices(words[i % 3 * 60 : i % 3 * 60 + 180], k=80))) for i in range(150)]
+    train = spark.createDataFrame(rows, "label string, text string")
+    model = md.fit_subword_softmax(train)
+    found = cf.certify(model, md.subword_input(train))
+    reg = model.stages[-1].getOrDefault("regParam")
+    assert reg == 1e-4 and model.stages[-1].numFeatures == 200_000
+    assert found.gradient_norm <= sx.MARGIN * reg * 1.001
+    # Passes read words, and not the n-grams of every word of every text.
+    block = list(sx._blocks([(0, t) for _, t in rows], 200_000, 3, 6))[0]
+    entries = sum(len(r.number) for r in (block.texts, block.words, block.grams))
+    assert entries < sum(len(set(_plain_subwords(t))) for _, t in rows) / 2
+    # Sums of many tasks are added up in the order of tasks.
+    parts = spark.sparkContext.parallelize([np.array([0.1 * i, 1.0]) for i in range(100)], 100)
+    assert sx._added(parts)[1] == 100 and sx._added(parts).tolist() == sx._added(parts).tolist()
+    one = md.fit_subword_softmax(train.where("label = 'a'"))
+    assert {(r.predicted, r.probability) for r in md.score_rows(one, md.subword_input(train), 1).collect()} == {("a", 1.0)}
+    with pytest.raises(Exception, match="no text"):
+        md.fit_subword_softmax(train.union(spark.createDataFrame([("a", None)], "label string, text string")))
