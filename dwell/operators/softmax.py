@@ -11,6 +11,7 @@ same sums as over the vectors, in a fraction of their entries.
 
 from __future__ import annotations
 
+import pickle
 from collections import deque
 from collections.abc import Callable, Iterable, Iterator
 from typing import NamedTuple
@@ -217,10 +218,32 @@ def _blocks(rows: Iterable[tuple[float, str]], buckets: int, low: int, high: int
         yield made()
 
 
+# Blocks are kept in pieces, as a JVM's heap is no good at arrays of many megabytes.
+_PIECE_BYTES = 400_000
+
+
+def _pieces(blocks: Iterable[Block]) -> Iterator[tuple[bool, bytes]]:
+    """The bytes of blocks, and whether a block ends there."""
+    for block in blocks:
+        whole = pickle.dumps(block, pickle.HIGHEST_PROTOCOL)
+        for at in range(0, len(whole), _PIECE_BYTES):
+            yield at + _PIECE_BYTES >= len(whole), whole[at : at + _PIECE_BYTES]
+        pa.default_memory_pool().release_unused()
+
+
+def _joined(pieces: Iterable[tuple[bool, bytes]]) -> Iterator[Block]:
+    held = []
+    for ends, piece in pieces:
+        held.append(piece)
+        if ends:
+            whole, held = b"".join(held), []
+            yield pickle.loads(whole)
+
+
 def subword_blocks(examples: DataFrame, label: str, text: str, buckets: int, low: int = 3, high: int = 6) -> RDD:
-    """The examples of each partition as blocks, with the features of ``with_subwords``."""
+    """The examples of each partition as blocks in pieces, with the features of ``with_subwords``."""
     rows = examples.select(F.col(label), F.make_valid_utf8(text)).rdd
-    return rows.mapPartitions(lambda part: _blocks(part, buckets, low, high))
+    return rows.mapPartitions(lambda part: _pieces(_blocks(part, buckets, low, high)))
 
 
 # ---- passes ---------------------------------------------------------------
@@ -327,7 +350,7 @@ def _direction(slope: np.ndarray, steps: deque) -> np.ndarray:
         found -= shares[-1] * y
     if steps:
         _, y, sy = steps[-1]
-        found *= sy / _dot(y, y)
+        found *= sy / np.einsum("i,i", y, y, dtype=float)
     for (s, y, sy), share in zip(steps, reversed(shares)):
         found += (share - _dot(y, found) / sy) * s
     return found
@@ -360,7 +383,8 @@ def minimum(
         s, y = t * way, steepness - slope
         sy = _dot(s, y)
         if sy > 0:
-            steps.append((s, y, sy))
+            # These only point the way; half their size is exact enough.
+            steps.append((s.astype(np.float32), y.astype(np.float32), sy))
         x, value, slope = x + s, there, steepness
     return x
 
@@ -382,7 +406,7 @@ def fit_blocks(
     context = blocks.context
     blocks = blocks.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        sums = _added(blocks.mapPartitions(lambda part: [_label_sums(part, labels, buckets)]))
+        sums = _added(blocks.mapPartitions(lambda part: [_label_sums(_joined(part), labels, buckets)]))
         texts = sums[:, -1]
         n, mean = texts.sum(), sums[:, :-1].sum(0) / max(1.0, texts.sum())
         if not n:
@@ -395,7 +419,7 @@ def fit_blocks(
             x = flat.reshape(labels, buckets + 1)
             sent = context.broadcast((x[:-1, :-1], x[:-1, -1] - at_mean(x)[:-1]))
             try:
-                found = _added(blocks.mapPartitions(lambda part: [_loss_and_slopes(part, *sent.value)]))
+                found = _added(blocks.mapPartitions(lambda part: [_loss_and_slopes(_joined(part), *sent.value)]))
             finally:
                 sent.destroy()
             slope = found[:-1].reshape(labels - 1, buckets + 1) / n

@@ -390,10 +390,10 @@ def test_blocks_hold_the_vectors_of_the_texts(spark, monkeypatch):
     residual = p - np.eye(3)[own].T
     want = np.append(np.hstack([residual[:2] @ x, residual[:2].sum(1)[:, None]]).ravel(), -np.log(p[own, np.arange(len(own))]).sum())
     for size, at_once, high in ((12_000_000, 100_000, 6), (200, 7, 6), (3000, 50, 6)):
-        for name in ("_AT_ONCE", "_HASHED_AT_ONCE", "_SORTED_AT_ONCE"):
+        for name in ("_AT_ONCE", "_HASHED_AT_ONCE", "_SORTED_AT_ONCE", "_PIECE_BYTES"):
             monkeypatch.setattr(sx, name, at_once)
         monkeypatch.setattr(sx, "_BLOCK_BYTES", size)
-        blocks = list(sx._blocks(rows, buckets, 3, high))
+        blocks = list(sx._joined(sx._pieces(sx._blocks(rows, buckets, 3, high))))
         assert len(blocks) == 1 or size < 12_000_000
         got = np.concatenate([sx._margins(b, weights) for b in blocks], 1)
         assert np.allclose(got, weights @ x.T, rtol=0, atol=1e-12)
